@@ -65,7 +65,7 @@ for _k, _words in KINDS.items():
     for _w in _words.split():
         _KIND_OF.setdefault(_w, _k)
 _UNIT_WORDS = sorted(UNITS, key=len, reverse=True)
-_NUMBER = r"(\d+(?:[.,]\d+)?)"
+_NUMBER = r"(?<![\d.,])(\d+(?:[.,]\d+)?)"
 _SIZE = re.compile(rf"{_NUMBER}\s*(" + "|".join(re.escape(u).replace(r"\ ", r"\s?") for u in _UNIT_WORDS) + r")(?![a-z0-9])")
 _PACK = re.compile(r"\b(?:pack|set)\s+of\s+(\d+)\b|\bpk\s*/\s*(\d+)\b|\b(\d+)\s*-?\s*pack\b|\b(\d+)\s*er[\s-]*(?:set|pack)\b|\b(\d+)\s*x(?![a-z0-9])|(?<![a-z0-9])x\s*(\d+)\b(?!\s*(?:cm|mm|m)\b)")
 _COUNT = re.compile(r"\bbox\s+of\s+(\d+)\b|\b(\d+)\s*/\s*pk\b")
@@ -74,15 +74,18 @@ _WORD = re.compile(r"[a-z]+(?:27)?")
 _DELIVERY = re.compile(r"\b\d+\s*-\s*\d+\s+days?\b")
 
 
-@lru_cache(maxsize=100_000)
-def fold_word(text: str) -> str:
-    text = unicodedata.normalize("NFKD", text.replace("ß", "ss"))
-    return "".join(c for c in text if not unicodedata.combining(c)).lower()
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+
+
+#: Letters with accents (and ligatures) of the Latin, Greek and Cyrillic blocks as plain ones; accents by themselves go.
+_FOLDED = {i: _plain(chr(i)) for i in range(0xA0, 0x530) if _plain(chr(i)) != chr(i)} | {i: None for i in range(0x300, 0x370)} | {0xDF: "ss", 0xA0: " "}
 
 
 def fold(text: str) -> str:
     """Lower case without accents."""
-    return text.lower() if text.isascii() else fold_word(text) if len(text) < 40 else fold_word.__wrapped__(text)
+    text = text.lower()
+    return text if text.isascii() else text.translate(_FOLDED)
 
 
 def _deletes(word: str) -> set[str]:
@@ -144,8 +147,8 @@ def check_digit_ok(digits: str) -> bool:
     """Whether a number of 8, 12, 13 or 14 digits has a right check digit and isn't all zeros."""
     if len(digits) not in (8, 12, 13, 14) or not digits.isdigit() or not digits.isascii() or not digits.strip("0"):
         return False
-    total = sum(int(d) * (3 if i % 2 else 1) for i, d in enumerate(reversed(digits)))
-    return total % 10 == 0
+    values = digits.encode()  # the digits' bytes are 48 and up
+    return (sum(values[::-2]) + 3 * sum(values[-2::-2]) - 48 * ((len(digits) + 1) // 2 + 3 * (len(digits) // 2))) % 10 == 0
 
 
 def gtin_of(text: str | None) -> str | None:
@@ -201,10 +204,11 @@ def title_is_cut(title: str) -> bool:
 
 def title_names_goods(title: str | None) -> bool:
     """Whether a title says what is sold at all."""
-    if not title:
-        return False
-    folded = fold(title).strip()
-    return folded not in EMPTY_TITLES and not EMPTY_PATTERN.match(folded) and any(c.isalpha() for c in folded)
+    return bool(title) and _names_goods(fold(title).strip())
+
+
+def _names_goods(folded: str) -> bool:
+    return folded not in EMPTY_TITLES and not EMPTY_PATTERN.match(folded) and any(map(str.isalpha, folded))
 
 
 def parse_title(title: str | None, make: str, known_make=None) -> dict:
@@ -212,15 +216,17 @@ def parse_title(title: str | None, make: str, known_make=None) -> dict:
 
     ``make``: the make of the vendor field; ``known_make``: whether a word is the name of some make.
     """
-    out = {"make": "", "code": "", "name": "", "size": "", "count": "", "colour": "", "pack": "", "kind": "", "cut": False}
-    if not title_names_goods(title):
+    out = {"make": "", "code": "", "name": "", "size": "", "count": "", "colour": "", "pack": "", "kind": "", "cut": False, "goods": False}
+    text = fold(title).strip() if title else ""
+    if not text or not _names_goods(text):
         return out
-    text = fold(title).replace("®", " ").strip()
-    if CUT.search(text):
+    out["goods"] = True
+    if text[-1] in "….])" and CUT.search(text):
         out["cut"] = True
         text = CUT.sub("", text)
         text = text.rpartition(" ")[0]  # the last word may be half a word
-    text = _DELIVERY.sub(" ", text)
+    if " days" in text:
+        text = _DELIVERY.sub(" ", text)
     if m := _CODE.search(text):
         if m.group(1) not in _FILLER_SET or m.group(0)[2] != " ":
             out["code"] = m.group(1) + m.group(2) + m.group(3)
@@ -231,13 +237,16 @@ def parse_title(title: str | None, make: str, known_make=None) -> dict:
     if m := _COUNT.search(text):
         out["count"] = str(int(next(g for g in m.groups() if g)))
         text = f"{text[: m.start()]} | {text[m.end() :]}"
-    for m in _SIZE.finditer(text):
+
+    def take(m: re.Match) -> str:
         dimension, value = size_of(m.group(1), " ".join(m.group(2).split()))
         if dimension == "n":
             out["count"] = out["count"] or value
         elif not out["size"]:
             out["size"] = f"{value}{dimension}"
-    text = _SIZE.sub(" ", text)
+        return " "
+
+    text = _SIZE.sub(take, text)
     colour = ""
     rest: list[str | None] = []
     votes: dict[str, int] = {}
