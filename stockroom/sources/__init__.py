@@ -1 +1 @@
-
+"""Captured payloads and files as tables of raw records."""
