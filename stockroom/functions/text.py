@@ -71,11 +71,11 @@ def domain(c: Column | str) -> Column:
 
 
 def price_string(c: Column | str) -> Column:
-    """A feed's price text as struct<amount string, currency string>: a last word of three letters is the currency; a comma beside a point goes, alone it is the point."""
+    """A feed's price text as struct<amount string, currency string>: a last word of three letters is the currency; else the first word is the amount; a comma beside a point goes, alone it is the point."""
     words = F.split(stripped(c), r"\s+")
     last = F.element_at(words, -1)
     has = (F.size(words) > 1) & last.rlike("^[A-Za-z]{3}$")
-    amount = F.when(has, F.element_at(words, 1)).otherwise(stripped(c))
+    amount = F.when(has, F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise(F.element_at(words, 1))
     amount = F.when(amount.contains(",") & amount.contains("."), F.replace(amount, F.lit(","), F.lit(""))).otherwise(F.replace(amount, F.lit(","), F.lit(".")))
     return F.struct(amount.alias("amount"), F.when(has, F.upper(last)).otherwise("").alias("currency"))
 

@@ -16,7 +16,7 @@ def api_pages(pages: DataFrame, platform: str, body: str = "body") -> DataFrame:
     parsed = pages.where(F.coalesce(F.col("http_status") == 200, F.lit(True)) if "http_status" in pages.columns else F.lit(True)).withColumn("_v", F.try_parse_json(body))
     path = {"shopify": "$.products", "magento": "$.items"}.get(platform, "$")
     kept = [c for c in pages.columns if c != body]
-    return parsed.select(*kept, F.posexplode(F.try_variant_get("_v", path, "array<variant>")).alias("pos", "raw")).where("raw is not null")
+    return parsed.select(*kept, F.posexplode(F.try_variant_get("_v", path, "array<variant>")).alias("pos", "raw")).where("raw is not null and not is_variant_null(raw)")
 
 
 def is_xml(body: Column | str, content_type: Column | str) -> Column:
@@ -87,4 +87,4 @@ def sitemap_urls(sitemaps: DataFrame, body: str = "body") -> DataFrame:
 
 def json_file(spark: SparkSession, path: str) -> DataFrame:
     """Records of a file that holds a JSON list (or lines of objects): ``raw``."""
-    return spark.read.option("wholetext", True).text(path).select(F.explode(F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), F.transform(F.filter(F.split("value", "\n"), lambda s: F.trim(s) != ""), F.try_parse_json))).alias("raw")).where("raw is not null")
+    return spark.read.option("wholetext", True).text(path).select(F.explode(F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), F.transform(F.filter(F.split("value", "\n"), lambda s: F.trim(s) != ""), F.try_parse_json))).alias("raw")).where("raw is not null and not is_variant_null(raw)")
