@@ -188,7 +188,7 @@ def neighbours(snaps: DataFrame) -> DataFrame:
     inside = local.selectExpr("domain", "snap_id", "instant", "'l' as side", "left_id as near_id", "left_instant as near_instant").unionByName(
         local.selectExpr("domain", "snap_id", "instant", "'r' as side", "right_id as near_id", "right_instant as near_instant")
     ).where("near_id is not null")
-    near = inside.unionByName(found)
+    near = staged(inside.unionByName(found))
     pairs = near.selectExpr(
         "domain",
         "if(side = 'l', near_id, snap_id) as from_id",
@@ -202,7 +202,7 @@ def neighbours(snaps: DataFrame) -> DataFrame:
     has_right = near.where("side = 'r'").select("domain", F.col("snap_id").alias("from_id")).distinct()
     pairs = pairs.unionByName(tails.join(has_right, ["domain", "from_id"], "left_anti"))
     later = Window.partitionBy("domain", "from_id").orderBy("recorded_from")
-    return pairs.withColumn("recorded_to", F.lead("recorded_from").over(later))
+    return staged(pairs.withColumn("recorded_to", F.lead("recorded_from").over(later)))
 
 
 _LOCAL_PAIRS = "domain string, part int, snap_id long, instant long, left_id long, left_instant long, left_open boolean, right_id long, right_instant long, right_open boolean"

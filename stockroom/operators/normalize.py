@@ -202,15 +202,15 @@ def is_product(p: Column) -> Column:
     return (p["price"] > 0) | X.filled(p["image_url"]) | (F.coalesce(p["sku"], F.lit("")) != "") | X.filled(p["external_id"])
 
 
-def normalize(raws: DataFrame, platform: str = "generic") -> DataFrame:
+def normalize(raws: DataFrame, platform: str = "generic", dialect=None) -> DataFrame:
     """The products of ``raws`` (raw variant, shop, other columns kept) with the product columns, ``platform`` and default condition NEW.
 
-    A platform's dialect that yields nothing falls through to the generic ones; rows that are no product are dropped. Null raws give none.
+    Where all rows are of one known ``dialect`` (one of the functions above), only that is tried; else a platform's dialect that yields nothing falls through to the generic ones; rows that are no product are dropped. Null raws give none.
     """
     own = {"shopify": shopify, "woocommerce": woocommerce, "magento": magento, "shopware": shopware}.get(platform)
     if platform not in PLATFORMS:
         raise ValueError(f"unknown platform {platform!r}")
-    product = F.coalesce(own(), generic()) if own else generic()
+    product = dialect() if dialect else F.coalesce(own(), generic()) if own else generic()
     kept = [c for c in raws.columns if c not in ("raw",) and c not in dict(FIELDS)]
     # a generator, so that the optimizer builds the struct once and not once per column
     rows = raws.where("raw is not null").select(*kept, F.explode(F.array(product)).alias("p"))

@@ -63,7 +63,7 @@ def feed_xml(spark, sf):
     """K3, then S4, S6, S8 and N8: the Google feed written as XML and read back."""
     items = export.google_items(catalog(spark, sf))
     feeds = items.select(F.concat(F.lit('<rss xmlns:g="http://base.google.com/ns/1.0"><channel>'), "item", F.lit("</channel></rss>")).alias("body")).where(P.is_xml("body", F.lit("")))
-    return N.normalize(P.xml_feed(feeds).withColumn("shop", F.lit("s"))).select("external_id", "title", "price", "currency", "gtin", "image_url", "in_stock")
+    return N.normalize(P.xml_feed(feeds).withColumn("shop", F.lit("s")), dialect=N.google_feed).select("external_id", "title", "price", "currency", "gtin", "image_url", "in_stock")
 
 
 @query("n8_google_feed_csv", _FEED_SQL)
@@ -71,7 +71,7 @@ def feed_csv(spark, sf):
     """K1, then S7 and N8: feed columns written as CSV files and read back."""
     path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     export.to_csv(export.google_fields(catalog(spark, sf)), path)
-    return N.normalize(P.csv_feed(spark, path).withColumn("shop", F.lit("s"))).select("external_id", "title", "price", "currency", "gtin", "image_url", "in_stock")
+    return N.normalize(P.csv_feed(spark, path).withColumn("shop", F.lit("s")), dialect=N.google_feed).select("external_id", "title", "price", "currency", "gtin", "image_url", "in_stock")
 
 
 _LD_SQL = with_views(f"select idx, sku, {_T} as title, {_P} as price, 'EUR' as currency, coalesce(image_url,'') as image_url, {_gtin_sql('gtin')} as gtin, trim(vendor) as vendor, idx % 3 <> 0 as in_stock, case when idx % 5 = 0 then 'USED' else 'NEW' end as condition from catalog")
@@ -90,7 +90,7 @@ def _ld_pages(spark, sf) -> DataFrame:
 def json_ld(spark, sf):
     """S9 to S12 and N10."""
     found = H.json_ld(H.page_parts(_ld_pages(spark, sf)).drop("html")).where(F.try_variant_get("raw", "$.review", "string").isNull())
-    return N.normalize(found.select("idx", "raw", F.lit("s").alias("shop"))).select("idx", "sku", "title", "price", "currency", "image_url", "gtin", F.coalesce("vendor", F.lit(None).cast("string")).alias("vendor"), "in_stock", "condition")
+    return N.normalize(found.select("idx", "raw", F.lit("s").alias("shop")), dialect=N.schema_org).select("idx", "sku", "title", "price", "currency", "image_url", "gtin", F.coalesce("vendor", F.lit(None).cast("string")).alias("vendor"), "in_stock", "condition")
 
 
 @query("s13_opengraph", with_views("select idx, concat('Og & ', idx) as title, 'product' as type from catalog"))
@@ -116,12 +116,12 @@ def direct(spark, sf):
 def css_cards(spark, sf):
     c = catalog(spark, sf)
     markup = F.concat(F.lit("<div><p>x</p><div class='card product'><h2 class=title>"), "title", F.lit("</h2><br><span class='price'>$"), "price", F.lit("</span><b itemprop=sku>"), "sku", F.lit("</b></div><p class=price>1</p></div>"))
-    return N.normalize(H.css_cards(c.select("idx", markup.alias("html"))).withColumn("shop", F.lit("s"))).select("idx", "title", "price", "sku")
+    return N.normalize(H.css_cards(c.select("idx", markup.alias("html"))).withColumn("shop", F.lit("s")), dialect=N.direct).select("idx", "title", "price", "sku")
 
 
 def _markdown(c: DataFrame) -> DataFrame:
     number = F.when(F.col("idx") % 3 == 0, F.concat(F.lit("€ "), F.replace("price", F.lit("."), F.lit(",")))).when(F.col("idx") % 3 == 1, F.concat(F.lit("GBP "), "price")).otherwise(F.concat(F.lit("$"), "price"))
-    return c.select("idx", F.concat(F.lit("intro\n# "), "title", F.lit("\nfree shipping from $5.00\nwas $7.00\n"), number, F.lit(" incl.\n")).alias("markdown"))
+    return c.select("idx", F.concat(F.lit("intro\n# "), "title", F.lit("\nfree shipping from $5.00\nwas $7.00 before\n"), number, F.lit(" incl.\n")).alias("markdown"))
 
 
 @query("f1_markdown_price", with_views(f"select idx, {_T} as title, {_P} as price, case idx % 3 when 0 then 'EUR' when 1 then 'GBP' else 'USD' end as currency from catalog"))

@@ -59,3 +59,25 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_variants": p2_variants, "p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found}
+
+_STATES = r"""with d as (select id, domain, epoch_us(cast(case when regexp_matches(created_at, '(Z|[+-]\d\d:?\d\d)$') then created_at else created_at || '+00:00' end as timestamptz)) as t, from_json(products_json, '["JSON"]') as l
+  from (select * from snapshots where json_valid(products_json)) where json_type(products_json) = 'ARRAY'),
+s as (select domain, t, min(id) as sid, row_number() over (partition by domain order by t) as k from d group by domain, t),
+e as (select domain, t, id, generate_subscripts(l, 1) as pos, unnest(l) as p from d),
+x as (select domain, t, id, pos, lower(regexp_replace(p->>'$.title', '^[\s\pZ\x{85}\x1c-\x1f]+|[\s\pZ\x{85}\x1c-\x1f]+$', '', 'g')) as title_key,
+  concat_ws('|', coalesce(try_cast(trim(p->>'$.price') as decimal(20,6)), 0), coalesce(p->>'$.currency', 'USD'), coalesce(p->>'$.vendor', ''), coalesce(p->>'$.in_stock', 'true')) as version from e),
+v as (select domain, k, sid, title_key, arg_max(version, id * 1000000 + pos) as version from x join s using (domain, t) where title_key <> '' group by all)"""
+
+ORACLE = {
+    "p3_found": _STATES
+    + """, r as (select *, case when lag(k) over w = k - 1 and lag(version) over w = version then 0 else 1 end as fresh from v window w as (partition by domain, title_key order by k)),
+g as (select *, sum(fresh) over (partition by domain, title_key order by k) as run from r),
+u as (select domain, title_key, min(k) as a, max(k) as b from g group by domain, title_key, run)
+select u.domain, u.title_key, f.sid as from_id, coalesce(n.sid, 0) as to_id from u join s f on f.domain = u.domain and f.k = u.a left join s n on n.domain = u.domain and n.k = u.b + 1""",
+    "p4_found": _STATES
+    + """, c as (select a.domain, a.sid as from_id, b.sid as to_id, a.k from s a join s b on a.domain = b.domain and b.k = a.k + 1),
+o as (select c.*, v.title_key, v.version from c join v on v.domain = c.domain and v.k = c.k), n as (select c.*, v.title_key, v.version from c join v on v.domain = c.domain and v.k = c.k + 1)
+select coalesce(o.domain, n.domain) as domain, coalesce(o.from_id, n.from_id) as from_id, coalesce(o.to_id, n.to_id) as to_id, coalesce(o.title_key, n.title_key) as title_key,
+  case when o.title_key is null then 'added' when n.title_key is null then 'removed' else 'changed' end as change
+from o full join n on o.domain = n.domain and o.from_id = n.from_id and o.title_key = n.title_key where o.version is distinct from n.version""",
+}

@@ -25,7 +25,7 @@ def is_xml(body: Column | str, content_type: Column | str) -> Column:
 
 
 def _feed_row(value) -> Column:
-    """A feed's record as a variant of the dialect ``google_feed``; ``value(name)`` gives a field's stripped text."""
+    """A feed's record (put out by a generator, so that it is built once, not per field read) as a variant of the dialect ``google_feed``; ``value(name)`` gives a field's stripped text."""
     price, sale = X.price_string(value("price")), X.price_string(value("sale_price"))
     plain = [F.when(value(n) != "", value(n)).otherwise("").alias(n) for n in FEED if n not in ("price", "sale_price", "gtin", "ean")]
     row = F.struct(
@@ -51,7 +51,7 @@ def xml_feed(feeds: DataFrame, body: str = "body") -> DataFrame:
             return F.filter(F.transform(F.coalesce(F.col("_i").getField("g:additional_image_link"), F.array().cast("array<string>")), lambda s: X.stripped(s)), lambda s: s != "")
         return F.coalesce(X.first_filled(X.stripped(F.col("_i").getField(f"g:{name}")), X.stripped(F.col("_i").getField(name))), F.lit(""))
 
-    return rows.where(value("title") != "").select(*kept, "pos", _feed_row(value).alias("raw"))
+    return rows.where(value("title") != "").select(*kept, "pos", F.explode(F.array(_feed_row(value))).alias("raw"))
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -73,7 +73,7 @@ def csv_feed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
             return F.filter(F.transform(F.split(X.stripped(name) if name in have else F.lit(""), ","), lambda s: X.stripped(s)), lambda s: s != "")
         return X.stripped(name) if name in have else F.lit("")
 
-    return rows.where(value("title") != "").select(_feed_row(value).alias("raw"))
+    return rows.where(value("title") != "").select(F.explode(F.array(_feed_row(value))).alias("raw"))
 
 
 def sitemap_urls(sitemaps: DataFrame, body: str = "body") -> DataFrame:
