@@ -16,7 +16,7 @@ def by_title(rows: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, n: int = 2) -> DataFrame:
     """The rows of the ``n`` newest snapshots of each domain, with ``age`` 1 for the newest. Ranks are taken over the snapshots, not over their rows."""
     times = rows.select("domain", "taken_at").distinct()
-    ranked = times.withColumn("age", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("taken_at")))).where(F.col("age") <= n)
+    ranked = times.withColumn("age", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("taken_at"))).cast("long")).where(F.col("age") <= n)
     return rows.join(ranked, ["domain", "taken_at"])
 
 

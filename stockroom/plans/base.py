@@ -23,7 +23,7 @@ from {part}
 #: Offers of five shops.
 OFFERS = """
 select r_name as store, l_orderkey * 10 + l_linenumber as idx, concat(p_name, ' ', cast(p_partkey as varchar(20))) as title, p_brand as vendor, p_type as product_type,
-  cast(cast(l_extendedprice as decimal(18,2)) as varchar(30)) as price, year(l_shipdate) as taken_at, l_partkey, l_suppkey, l_orderkey, l_linenumber
+  cast(cast(l_extendedprice as decimal(18,2)) as varchar(30)) as price, cast(year(l_shipdate) as bigint) as taken_at, l_partkey, l_suppkey, l_orderkey, l_linenumber
 from {lineitem} join {part} on l_partkey = p_partkey join {supplier} on l_suppkey = s_suppkey join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
 """
 TABLES = ("part", "lineitem", "supplier", "nation", "region", "products", "stores", "events", "orders", "customer", "documents")
