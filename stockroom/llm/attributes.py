@@ -186,6 +186,9 @@ def price_of(text: str | None) -> float | None:
     """The amount of a price in any notation; None if missing, zero or unreadable."""
     if not text:
         return None
+    if text.replace(".", "", 1).isdecimal() and text.isascii():
+        value = float(text)
+        return value if 0 < value < 1e9 else None
     digits = re.sub(r"[^0-9.,]", "", text)
     if "," in digits and "." in digits:
         digits = digits.replace(".", "").replace(",", ".") if digits.rfind(",") > digits.rfind(".") else digits.replace(",", "")
