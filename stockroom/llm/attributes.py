@@ -170,16 +170,16 @@ def make_of(vendor: str | None, domain: str | None) -> str:
 
 
 #: Parts of a file's place that name a stand-in, whatever the article.
-STAND_IN = re.compile(r"placeholder|no[_-]?image|not[_-]available|dummy|coming[_-]soon|bild[_-]folgt|kein[_-]bild|blank\.|spacer|default[_-]?(?:product|image)?\.|missing[_-]?image", re.I)
-_ADDRESS = re.compile(r"https?://[^/\s?#]+\.[^/\s?#]+/[^\s?#]+", re.I)
+STAND_IN = re.compile(r"placeholder|no[_-]?image|not[_-]available|dummy|coming[_-]soon|bild[_-]folgt|kein[_-]bild|blank\.|spacer|default[_-]?(?:product|image)?\.|missing[_-]?image")
+_ADDRESS = re.compile(r"https?://[^/\s?#]+\.[^/\s?#]+/([^\s?#]+)")
 
 
 def shows_article(address: str | None) -> bool:
     """Whether an address is a full http address of a picture of the article."""
     if not address:
         return False
-    m = _ADDRESS.match(address.strip())
-    return bool(m) and not STAND_IN.search(m.group())
+    m = _ADDRESS.match(address.strip().lower())
+    return bool(m) and not STAND_IN.search(m.group(1))
 
 
 def price_of(text: str | None) -> float | None:
