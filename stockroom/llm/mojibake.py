@@ -194,6 +194,8 @@ class Restorer:
     #: What a text about such sequences puts around them.
     QUOTED = re.compile("[\"'“„‘«”`]\\s?$")
     WORD_BEFORE, WORD_AFTER = re.compile(r"[A-Za-z]+\Z"), re.compile(r"[A-Za-z]+")
+    #: Control characters, which no text has but for the line end.
+    CONTROLS = re.compile("[\x80-\x84\x86-\x9f]")
     UNQUOTED = re.compile("^\\s?[\"'”“’»`]")
 
     def __init__(self, learned: list[str], table: np.ndarray):
@@ -201,6 +203,7 @@ class Restorer:
         self.steps = [(true, _SINGLES[wrong]) for true, wrong in sorted(pairs, key=lambda p: p[0] != "utf_8")]
         self.table, self.listed = table, table.tolist()
         self.wide = [(true, wrong) for true, wrong in self.steps if true in ("shift_jis", "gb18030", "big5")]
+        self.multibyte = [(true, wrong) for true, wrong in self.steps if true in ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr")]
         self.proving = [step for step in self.steps if step[0] == "utf_8"]
         self.maybe: dict[str, int] = {}
         self.known: dict[tuple[str, str, str], str | None] = {}
@@ -267,21 +270,68 @@ class Restorer:
 
     def _runs(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Places of misread runs and what they were."""
-        taken = 0
+        wide: list[tuple[int, int, str]] = []
         if self.wide and (len(text.encode("utf-8", "replace")) - len(text)) * 2 > len(text):
             for m in self.DENSE.finditer(text):
                 if not m.group().isascii() and any(wrong.encode(m.group()[:20]) is not None for _, wrong in self.wide):
                     for a, b in ((m.start(), m.end()), (m.start(), m.end() - 1), (m.start() + 1, m.end()), (m.start() + 1, m.end() - 1)):
                         new = self.run(text[a:b], steps=self.wide) if b - a > 4 else None
                         if new is not None:
-                            yield a, b, new
-                            taken = 1
+                            wide.append((a, b, new))
                             break
-        if taken or not any(map(self._possible, set(self.RUN.findall(text)))):
-            return
+        wide = self._rest(text, wide)
+        gaps = self._gaps(text, wide)
+        plain = list(self._plain(text, gaps)) if any(self._possible(run) for run in {r for a, b in gaps for r in self.RUN.findall(text, a, b)}) else []
+        # what the other encodings of several bytes were found in is looked through for their short runs as well
+        yield from self._rest(text, sorted(wide + plain)) if plain and self.multibyte else sorted(wide + plain)
+
+    @staticmethod
+    def _gaps(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+        """What of ``text`` lies between the places ``found``."""
+        ends = [0, *(x for a, b, _ in found for x in (a, b)), len(text)]
+        return [(a, b) for a, b in zip(ends[::2], ends[1::2]) if a < b]
+
+    def _rest(self, text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """``found`` and, in the rest of the text, the runs of any length that the same encodings of several bytes make likelier."""
+        for step in self.multibyte:
+            if any(self._undone(text[a:b], step) == new for a, b, new in found):
+                more = [x for a, b in self._gaps(text, found) for x in self._stretches(text, a, b, step)]
+                found = sorted(found + [x for x in more if self._likelier(text, *x) and self.run(text[x[0] : x[1]], steps=self.proving) is None])
+        return found
+
+    @staticmethod
+    def _undone(run: str, step: tuple) -> str | None:
+        try:
+            data = step[1].encode(run)
+            return data and data.decode(step[0])
+        except UnicodeDecodeError:
+            return None
+
+    def _stretches(self, text: str, start: int, end: int, step: tuple) -> Iterator[tuple[int, int, str]]:
+        """The longest runs of whole characters of ``step`` that begin with a sign beyond ASCII, and what they were."""
+        at, out, i = start, [], start
+        while i < end:
+            one = next(((k, c) for k in range(1, 5) if i + k <= end and (c := self._undone(text[i : i + k], step)) is not None and len(c) == 1), None) if text[i] > "\x7f" else None
+            if one is not None and not 0x80 <= ord(one[1]) < 0xA0:
+                out.append(one[1])
+                i += one[0]
+                continue
+            if out:
+                yield at, i, "".join(out)
+            i += 1
+            at, out = i, []
+        if out:
+            yield at, end, "".join(out)
+
+    def _likelier(self, text: str, start: int, end: int, new: str) -> bool:
+        left, right = self._beside(text[start - 1]) if start else " ", self._beside(text[end]) if end < len(text) else " "
+        return self.score(left + new + right) > self.score(left + text[start:end] + right)
+
+    def _plain(self, text: str, gaps: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+        """Places of misread runs of signs beyond ASCII in ``gaps`` and what they were."""
         found: list[tuple[int, int, str, str | None]] = []
         steps = set()
-        for m in self.RUN.finditer(text):
+        for m in (m for a, b in gaps for m in self.RUN.finditer(text, a, b)):
             run = m.group()
             possible = self._possible(run)
             left, right = " ", " "
@@ -328,10 +378,18 @@ class Restorer:
             self.maybe[run] = known
         return known
 
-    def text(self, text: str) -> tuple[str, int, int, int]:
-        """The restored text, the runs restored, those of them that the text only quotes, and the marks of lost characters outside of quotes."""
+    def _left(self, text: str, new: str, found: list[tuple[int, int, str]]) -> bool:
+        """Whether ``new``, made of ``text`` by ``found``, still has misread signs: control characters, or runs of more signs than agree by chance that a learned transformation explains."""
+        if self.CONTROLS.search(new) or any(m.end() - m.start() > 2 and self._undone(m.group(), step) is not None and not self._quoted(new, m.start(), m.end()) for step in self.proving for m in self.RUN.finditer(new)):
+            return True
+        used = [step for step in self.multibyte if any(self._undone(text[a:b], step) == c for a, b, c in found)]
+        return any(len(c) < b - a and not self._quoted(text, a, b) for step in used for x, y in self._gaps(text, found) for a, b, c in self._stretches(text, x, y, step))
+
+    def text(self, text: str) -> tuple[str, int, int, int, bool]:
+        """The restored text, the runs restored, those of them that the text only quotes, the marks of lost characters outside of quotes, and whether misread signs are left."""
         out, at, done, quoted = [], 0, 0, 0
-        for start, end, new in self._runs(text):
+        found = list(self._runs(text))
+        for start, end, new in found:
             done += 1
             if self._quoted(text, start, end):
                 quoted += 1
@@ -339,7 +397,8 @@ class Restorer:
             out += [text[at:start], new]
             at = end
         lost = sum(not (self._quoted(text, m.start(), m.end()) or text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1] == "()") for m in re.finditer(_MARK + "+", text)) if _MARK in text else 0
-        return "".join([*out, text[at:]]), done, quoted, lost
+        new = "".join([*out, text[at:]])
+        return new, done, quoted, lost, done > quoted and self._left(text, new, found)
 
     def _quoted(self, text: str, start: int, end: int) -> bool:
         """Whether the word around a run stands in quotation marks by itself."""
@@ -371,10 +430,10 @@ def restore(documents: DataFrame, key: str = "doc_id", text: str = "text", chang
                     if not changed_only:
                         out.append((ident, False, False, 0, t))
                     continue
-                new, runs, quoted, lost = restorer.text(t)
+                new, runs, quoted, lost, left = restorer.text(t)
                 garbled = runs > quoted or lost > 0
                 if garbled or not changed_only:
-                    out.append((ident, garbled, garbled and not lost and _MARK not in new, runs - quoted, new))
+                    out.append((ident, garbled, garbled and not lost and not left and _MARK not in new, runs - quoted, new))
             columns = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (batch.column(0).type, pa.bool_(), pa.bool_(), pa.int32(), pa.string()))], names=["key", "garbled", "restored", "runs", "text"])
 

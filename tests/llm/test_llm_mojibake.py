@@ -51,3 +51,24 @@ def test_short_and_long_texts_score_alike():
     for t in ("für", "данные x", "5 √4", "abc"):
         b = M._pairs_of(t)
         assert abs(r.score(t) - (float(table[b].mean()) if len(b) else 0.0)) < 1e-5
+
+
+JAPANESE = "【要約】案内レール（10）と駆動軸（2{0}）とを備える小型の弁駆動装置に関する。請求項1から{0}のいずれか一項に記載の装置。温度は9{0} °Cである"
+
+
+def test_short_runs_of_two_byte_encodings_are_restored(spark):
+    docs = [(i, JAPANESE.format(i % 9), "ja", "", "") for i in range(60)]
+    bad = {10_000 + k: misread(JAPANESE.format(k), "shift_jis", "cp1252") for k in range(6)}
+    mixed = JAPANESE.format(3) + "\n" + GERMAN.format(4)
+    bad[10_100] = misread(JAPANESE.format(3), "shift_jis", "cp1252") + "\n" + misread(GERMAN.format(4), "utf_8", "cp1252")
+    got = {r.doc_id: r for r in M.restore(spark.createDataFrame(docs + [(i, t, "", "", "") for i, t in bad.items()] + [(i, GERMAN.format(i % 9), "de", "", "") for i in range(100, 130)] + [(200 + i, misread(GERMAN.format(i), "utf_8", "cp1252"), "", "", "") for i in range(6)], DOCS)).collect()}
+    assert {i for i, r in got.items() if r.garbled} == set(bad) | {200 + i for i in range(6)}
+    for k in range(6):
+        assert got[10_000 + k].text == JAPANESE.format(k) and got[10_000 + k].restored
+    assert got[10_100].text == mixed and got[10_100].restored
+
+
+def test_not_restored_while_misread_signs_are_left():
+    table = np.ones(M.BUCKETS, np.float32)
+    r = M.Restorer(["utf_8>cp1252"], table)
+    assert r.text("Die PrÃ¼fung der GrÃ¶ÃŸe")[4] is False and r.text("Die PrÃ¼fung, Teil 1\x962")[4] is True
