@@ -11,9 +11,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import takewhile
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from stockroom.functions import text as X
@@ -73,33 +76,71 @@ def similar_titles(a: DataFrame, b: DataFrame, threshold: float, same: bool = Fa
     return other if same else other.unionByName(equal)
 
 
-def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """``a``, ``b`` (idx of either side), ``sim`` of all pairs of products with similar titles."""
-    a, b = a.select(F.col("idx").alias("a"), X.key("title").alias("ta")), b.select(F.col("idx").alias("b"), X.key("title").alias("tb"))
-    titles = similar_titles(a.select(F.col("ta").alias("t")), b.select(F.col("tb").alias("t")), threshold)
-    return a.join(titles, "ta").join(b, "tb").select("a", "b", "sim")
+def _parts(edges: DataFrame, titles: DataFrame) -> DataFrame:
+    """``id`` and ``part``: titles that ``edges`` (``x``, ``y``) connect have the same part."""
+    both = edges.where("x <> y").select("x", "y").union(edges.where("x <> y").select("y", "x"))
+    parts = staged(titles.select("id", F.col("id").alias("part")))
+    while True:
+        near = both.join(parts, F.col("y") == F.col("id")).groupBy("x").agg(F.min("part").alias("low"))
+        low = staged(parts.join(near, F.col("id") == F.col("x"), "left").select("id", F.least("part", "low").alias("low"), F.coalesce(F.col("low") < F.col("part"), F.lit(False)).alias("moved")))
+        if low.where("moved").isEmpty():
+            return parts
+        parts = staged(low.select("id", "low").join(low.select(F.col("id").alias("low"), F.col("low").alias("part")), "low").select("id", "part"))
+
+
+def _assign(rows: pa.Table) -> pa.Table:
+    """The assignment within one part: rows of an ``a`` (x), rows of a ``b`` (y) and similar titles (x, y, sim). Of equal titles the lowest ``b`` goes first, so a title is a queue."""
+    x, y, sim, idx = (rows.column(c) for c in ("x", "y", "sim", "idx"))
+    of = lambda keep, *columns: [c.filter(keep).to_numpy() for c in columns]
+    queues: dict[int, Iterator[int]] = {}
+    heads: dict[int, int | None] = {}
+    titles, numbers = of(pc.is_null(x), y, idx)
+    order = np.lexsort((numbers, titles))
+    titles, numbers = titles[order], numbers[order]
+    starts = np.flatnonzero(np.r_[True, titles[1:] != titles[:-1]]) if len(titles) else []
+    for start, end in zip(starts, [*starts[1:], len(titles)]):
+        queues[int(titles[start])] = iter(numbers[start:end])
+        heads[int(titles[start])] = int(next(queues[int(titles[start])]))
+    liked: dict[int, list[tuple[float, int]]] = {}
+    for s, t, r in zip(*of(pc.is_valid(sim), sim, x, y)):
+        liked.setdefault(int(t), []).append((float(s), int(r)))
+    for choices in liked.values():
+        choices.sort(reverse=True)
+    found = []
+    titles, numbers = of(pc.is_null(y), x, idx)
+    for i in np.argsort(numbers, kind="stable"):
+        choices = liked[int(titles[i])]
+        while choices and heads[choices[0][1]] is None:
+            choices.pop(0)
+        tied = [(heads[t], t) for s, t in takewhile(lambda c: c[0] == choices[0][0], choices) if heads[t] is not None]
+        if tied:
+            b, t = min(tied)
+            found.append((int(numbers[i]), b, choices[0][0]))
+            heads[t] = next(queues[t], None)
+    columns = list(zip(*found)) or [[], [], []]
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "sim": pa.array(columns[2], pa.float64())})
 
 
-def greedy(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """One-to-one assignment: in order of ``a``, each takes its best ``b`` (highest sim, then lowest b) that is still free.
+def fuzzy_match(a: DataFrame, b: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``a``, ``b``, ``sim``: one-to-one matches of two catalogues by title: in order of ``a``, each takes its best ``b`` (highest sim, then lowest b) that is still free.
 
-    As all ``b`` prefer the earlier ``a``, this is the one stable matching, found by rounds of proposals without any order of execution: each ``a`` proposes to
-    the best ``b`` left to it, and where an earlier ``a`` proposes, pairs of ``b`` with later ones fall away.
+    Titles that aren't connected by similar ones don't compete, so each connected part is assigned by itself, in time and memory in proportion to its rows.
     """
-    left = staged(pairs.select("a", "b", "sim"))
-    for _ in range(rounds):
-        best = left.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"), F.col("x.sim").alias("sim"))
-        best = staged(best)
-        held = best.groupBy("b").agg(F.min("a").alias("by"), F.count("*").alias("n"))
-        if not held.where("n > 1").limit(1).count():
-            return best
-        left = staged(left.join(held.select("b", "by"), "b", "left").where("by is null or a <= by").drop("by"))
-    raise RuntimeError("no assignment after that many rounds")
-
-
-def fuzzy_match(a: DataFrame, b: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``a``, ``b``, ``sim``: greedy one-to-one matches of two catalogues by title."""
-    return greedy(candidates(a, b, threshold))
+    kinds = a.schema["idx"].dataType, b.schema["idx"].dataType
+    a, b = a.select("idx", X.key("title").alias("t")), b.select("idx", X.key("title").alias("t"))
+    similar = staged(similar_titles(a, b, threshold))
+    titles = staged(similar.select(F.col("ta").alias("t")).union(similar.select("tb")).distinct().select("t", F.monotonically_increasing_id().alias("id")))
+    named = lambda c, to: titles.select(F.col("t").alias(c), F.col("id").alias(to))
+    edges = staged(similar.join(named("ta", "x"), "ta").join(named("tb", "y"), "tb").select("x", "y", "sim"))
+    parts = _parts(edges, titles)
+    ends = titles.join(parts, "id")
+    none = lambda kind: F.lit(None).cast(kind)
+    number = F.col("idx").cast("long").alias("idx")
+    mine = a.join(similar.select(F.col("ta").alias("t")).distinct(), "t").join(ends, "t").select("part", F.col("id").alias("x"), none("long").alias("y"), none("double").alias("sim"), number)
+    theirs = b.join(similar.select(F.col("tb").alias("t")).distinct(), "t").join(ends, "t").select("part", none("long").alias("x"), F.col("id").alias("y"), none("double").alias("sim"), number)
+    pairs = edges.join(parts, F.col("x") == F.col("id")).select("part", "x", "y", "sim", none("long").alias("idx"))
+    found = mine.unionByName(theirs).unionByName(pairs).groupBy("part").applyInArrow(_assign, "a long, b long, sim double")
+    return found.select(F.col("a").cast(kinds[0]).alias("a"), F.col("b").cast(kinds[1]).alias("b"), "sim")
 
 
 def catalog_diff(a: DataFrame, b: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -90,6 +90,17 @@ def test_fuzzy_match_equals_the_plain_loop(spark, threshold):
     assert match.fuzzy_match(da.limit(0), db, threshold).count() == 0
 
 
+def test_fuzzy_match_of_many_equal_titles(spark):
+    """A title that most rows have is matched to the end, its rows beside similar titles as in the plain loop."""
+    titles = lambda k, n: [(i, "blue gear 1" if i % 3 else f"blue gear {i % k}") for i in range(n)]
+    a, b = titles(7, 240), titles(5, 180)
+    frame = lambda rows: spark.createDataFrame(rows, "idx long, title string")
+    assert {(r.a, r.b) for r in match.fuzzy_match(frame(a), frame(b), 0.8).collect()} == plain_greedy(a, b, 0.8)
+    same = spark.range(30_000).selectExpr("id as idx", "'Blue Gear' as title")
+    found = match.fuzzy_match(same, same, 0.9)
+    assert found.count() == 30_000 and found.where("a <> b or sim <> 1").count() == 0
+
+
 def test_best_competitors_and_identifiers(spark):
     mine = spark.createDataFrame([(1, "Blue Widget Pro"), (2, None)], "idx long, title string")
     others = spark.createDataFrame([(7, "s", "0", "blue widget pro"), (8, "s", "9", "Blue Widget Max"), (9, "t", "4", "blue widget pro"), (10, "t", "5", "blue widget pro")], "idx long, store string, price string, title string")
