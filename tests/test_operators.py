@@ -101,6 +101,13 @@ def test_fuzzy_match_of_many_equal_titles(spark):
     assert found.count() == 30_000 and found.where("a <> b or sim <> 1").count() == 0
 
 
+def test_the_two_catalogues_hold_all_rows(spark, sf):
+    from stockroom.plans import market
+
+    a, b = market._two_catalogs(spark, sf)
+    assert sorted(r.idx for r in a.union(b).select("idx").collect()) == sorted(r.idx for r in market.catalog(spark, sf).select("idx").collect())
+
+
 def test_best_competitors_and_identifiers(spark):
     mine = spark.createDataFrame([(1, "Blue Widget Pro"), (2, None)], "idx long, title string")
     others = spark.createDataFrame([(7, "s", "0", "blue widget pro"), (8, "s", "9", "Blue Widget Max"), (9, "t", "4", "blue widget pro"), (10, "t", "5", "blue widget pro")], "idx long, store string, price string, title string")
