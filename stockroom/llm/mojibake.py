@@ -127,8 +127,6 @@ def learn(documents: DataFrame, key: str = "doc_id", text: str = "text") -> list
         for batch in batches:
             found: Counter = Counter()
             for c, g, tie in zip(*(x.to_pylist() for x in batch.columns)):
-                if len(c) > 200 or len(g) > 600:  # a short part of a run names its encodings as well
-                    c, g = c[:200], g[:600]
                 for x, y in ((c, g), (g, c)) if tie else ((c, g),):
                     if signature := " ".join(sorted(explanations(x, y))):
                         found[signature, tie] += 1

@@ -72,3 +72,13 @@ def test_not_restored_while_misread_signs_are_left():
     table = np.ones(M.BUCKETS, np.float32)
     r = M.Restorer(["utf_8>cp1252"], table)
     assert r.text("Die PrÃ¼fung der GrÃ¶ÃŸe")[4] is False and r.text("Die PrÃ¼fung, Teil 1\x962")[4] is True
+
+
+def test_long_runs_teach_encodings_of_two_bytes(spark):
+    docs = []
+    for k in range(4):
+        clean = "".join(chr(0x4E00 + (i * 37 + k * 101) % 2000) for i in range(300)).encode("euc_jp", "ignore").decode("euc_jp") * 2
+        line = f"Reference number {k} of the register "
+        docs += [(10 * k + i, line + clean, "", "", "") for i in range(3)] + [(10 * k + 9, line + misread(clean, "euc_jp", "cp1252"), "", "", "")]
+        assert len(clean) > 200
+    assert "euc_jp>cp1252" in M.learn(spark.createDataFrame(docs, DOCS))
