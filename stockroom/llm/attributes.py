@@ -7,39 +7,26 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Words of the trade in the languages of the listings, in folded lower case.
-KINDS = {
-    "Packing": "packing tape adhesive parcel paketklebeband klebeband",
-    "Storage": "ssd portable external solid state drive extern",
-    "Coffee": "coffee whole beans bean kaffeebohnen kaffee",
-    "Fixings": "wood screws countersunk holzschrauben senkkopf schrauben",
-    "Bags": "trekking rucksack hiking backpack wanderrucksack",
-    "Paint": "wall paint interior emulsion wandfarbe innen",
-    "Cables": "usb c charging cable charge ladekabel type typ",
-    "Bath": "bath towel cotton badetuch baumwolle",
-    "Bottles": "insulated water bottle vacuum flask trinkflasche isoliert",
-    "Tea": "tea herbal blend krautertee",
-    "Cookware": "frying pan non stick nonstick skillet bratpfanne",
-    "Dogs": "dog food dry lamb kibble hundefutter trocken lamm",
-    "Heating": "electric heater convector konvektor heizgerat",
-    "Lighting": "led bulb lamp e27 leuchtmittel",
-    "Hair": "shampoo sensitive hair scalp empfindliche kopfhaut",
-}
+# Names of colours in common languages, in folded lower case; others are learned from the corpus (see ``Vocabulary``).
 COLOURS = {
-    "black": "black blk schwarz noir",
-    "white": "white wht weiss blanc",
-    "grey": "grey gray grau gris",
-    "red": "red rot rouge",
-    "green": "green grun vert",
+    "black": "black blk schwarz noir negro nero",
+    "white": "white wht weiss blanc blanco bianco",
+    "grey": "grey gray grau gris grigio",
+    "red": "red rot rouge rojo rosso",
+    "green": "green grun vert verde",
     "navy": "navy marineblau",
-    "blue": "blue blau bleu",
+    "blue": "blue blau bleu azul blu",
     "teal": "teal petrol",
     "sand": "sand beige",
+    "yellow": "yellow gelb jaune amarillo giallo",
+    "orange": "orange naranja arancione",
+    "brown": "brown braun brun marron marrone",
+    "pink": "pink rosa rose",
+    "purple": "purple lila violett violet morado viola",
+    "silver": "silver silber argent plata argento",
+    "gold": "gold golden dore oro dorado",
+    "lavender": "lavender lavendel lavande lavanda",
 }
-FILLERS = (
-    "for fur by professionals with warranty great gift idea free shipping fast delivery days limited offer official dealer top quality rated sale best price bestseller "
-    "deal hot new neu neues genuine original versandkostenfrei of set pack pk er x box the and in mit bags beutel sachets dark"
-)
 #: Units: dimension, factor to the base unit, whether it is metric (imperial sizes are rounded).
 UNITS = {
     "mm": ("mm", 1, True), "cm": ("mm", 10, True), "m": ("mm", 1000, True), "mtr": ("mm", 1000, True), "metre": ("mm", 1000, True), "metres": ("mm", 1000, True), "meter": ("mm", 1000, True), "meters": ("mm", 1000, True),
@@ -58,19 +45,20 @@ EMPTY_PATTERN = re.compile(r"(?:product|artikel|item|produkt|article)\s*#?\s*\d+
 #: Marks of omission at the end of a title.
 CUT = re.compile(r"\s*(?:\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{2,}|…)\s*\)|\.{2,}|…)\s*$")
 
-_FILLER_SET = frozenset(FILLERS.split())
 _COLOUR_OF = {w: c for c, words in COLOURS.items() for w in words.split()}
-_KIND_OF: dict[str, str] = {}
-for _k, _words in KINDS.items():
-    for _w in _words.split():
-        _KIND_OF.setdefault(_w, _k)
 _UNIT_WORDS = sorted(UNITS, key=len, reverse=True)
 _NUMBER = r"(?<![\d.,])(\d+(?:[.,]\d+)?)"
 _SIZE = re.compile(rf"{_NUMBER}\s*(" + "|".join(re.escape(u).replace(r"\ ", r"\s?") for u in _UNIT_WORDS) + r")(?![a-z0-9])")
 _PACK = re.compile(r"\b(?:pack|set)\s+of\s+(\d+)\b|\bpk\s*/\s*(\d+)\b|\b(\d+)\s*-?\s*pack\b|\b(\d+)\s*er[\s-]*(?:set|pack)\b|\b(\d+)\s*x(?![a-z0-9])|(?<![a-z0-9])x\s*(\d+)\b(?!\s*(?:cm|mm|m)\b)")
 _COUNT = re.compile(r"\bbox\s+of\s+(\d+)\b|\b(\d+)\s*/\s*pk\b")
-_CODE = re.compile(r"(?<![a-z0-9])([a-z]{2})[\s.-]{0,2}(\d{2})[\s.-]?(\d{3})(?![0-9a-z])")
-_WORD = re.compile(r"[a-z]+(?:27)?")
+#: A model code: letters and digits in one word or with a joint, a blank only before four digits or more; a number with a unit behind it is none.
+_CODE = re.compile(
+    r"(?<![a-z0-9])(?!(?:pack|set|box|of|pk|x|usb|no|nr)[\s.-]?\d)(?:([a-z]{1,5})[.-]?(\d{2,6}(?:[.-]?\d{2,4})?)|([a-z]{2,3})[\s.-]{1,2}(\d{2}[\s.-]?\d{3}|\d{4,6}))([a-z]{0,3}\d{0,3})(?![0-9a-z])(?!\s*(?:"
+    + "|".join(re.escape(u).replace(r"\ ", r"\s?") for u in _UNIT_WORDS)
+    + r")(?![a-z0-9]))"
+)
+SIGNS = re.compile(r"[^a-z0-9]")
+_WORD = re.compile(r"[a-z]+\d{0,3}(?![a-z0-9])|[a-z]+")
 _DELIVERY = re.compile(r"\b\d+\s*-\s*\d+\s+days?\b")
 
 
@@ -92,33 +80,6 @@ def _deletes(word: str) -> set[str]:
     return {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-_LEXICON = frozenset(_FILLER_SET | set(_COLOUR_OF) | set(_KIND_OF) | {u for u in UNITS if u.isalpha()} | {"kg", "tea", "fl"})
-_NEAR: dict[str, str] = {}
-for _w in sorted(_LEXICON):
-    if len(_w) >= 4:
-        for _d in {_w} | _deletes(_w):
-            _NEAR.setdefault(_d, _w)
-
-
-@lru_cache(maxsize=200_000)
-def known_word(word: str) -> str | None:
-    """The word of the lexicon that ``word`` is, also misspelt: from six letters on with one letter wrong, left out, doubled or exchanged with the next, shorter names of goods with two exchanged or one doubled."""
-    if word in _LEXICON:
-        return word
-    if len(word) >= 6:
-        if word in _NEAR:
-            return _NEAR[word]
-        for d in _deletes(word):
-            if d in _NEAR:
-                return _NEAR[d]
-    elif len(word) >= 4:
-        for i in range(len(word) - 1):
-            other = word[:i] + word[i] + word[i + 2 :] if word[i] == word[i + 1] else word[:i] + word[i + 1] + word[i] + word[i + 2 :]
-            if other in _KIND_OF:
-                return other
-    return None
-
-
 def rounded(value: float, tolerance: float) -> float:
     """The roundest number within ``tolerance`` of ``value``."""
     low, high = value - tolerance, value + tolerance
@@ -214,12 +175,13 @@ def _names_goods(folded: str) -> bool:
     return folded not in EMPTY_TITLES and not EMPTY_PATTERN.match(folded) and any(map(str.isalpha, folded))
 
 
-def parse_title(title: str | None, make: str, known_make=None) -> dict:
-    """Attributes that a title states: make, code, name, size, count, colour, pack, kind (each blank if not stated) and cut.
+#: What words say that aren't letters of a model: parts of counts and sizes.
+_OF_COUNTS = frozenset("pack set of pk er x box pcs ct days".split()) | {w for u in UNITS for w in u.split() if w.isalpha()}
 
-    ``make``: the make of the vendor field; ``known_make``: whether a word is the name of some make.
-    """
-    out = {"make": "", "code": "", "name": "", "size": "", "count": "", "colour": "", "pack": "", "kind": "", "cut": False, "goods": False}
+
+def stated(title: str | None) -> dict:
+    """What a title states in numbers, and its other words: code, size, count, pack, words (blank if there is none), cut (its end is missing) and goods (it names some)."""
+    out = {"code": "", "size": "", "count": "", "pack": "", "words": "", "cut": False, "goods": False}
     text = fold(title).strip() if title else ""
     if not text or not _names_goods(text):
         return out
@@ -230,10 +192,12 @@ def parse_title(title: str | None, make: str, known_make=None) -> dict:
         text = text.rpartition(" ")[0]  # the last word may be half a word
     if " days" in text:
         text = _DELIVERY.sub(" ", text)
-    if m := _CODE.search(text):
-        if m.group(1) not in _FILLER_SET or m.group(0)[2] != " ":
-            out["code"] = m.group(1) + m.group(2) + m.group(3)
+    for m in _CODE.finditer(text):
+        code = SIGNS.sub("", m.group(0))
+        if sum(map(str.isdigit, code)) >= 3:
+            out["code"] = code
             text = f"{text[: m.start()]} | {text[m.end() :]}"
+            break
     if m := _PACK.search(text):
         out["pack"] = str(int(next(g for g in m.groups() if g)))
         text = f"{text[: m.start()]} | {text[m.end() :]}"
@@ -250,36 +214,76 @@ def parse_title(title: str | None, make: str, known_make=None) -> dict:
         return " "
 
     text = _SIZE.sub(take, text)
-    colour = ""
-    rest: list[str | None] = []
-    votes: dict[str, int] = {}
-    for word in _WORD.findall(text):
-        if word == make or (known_make is not None and len(word) > 3 and known_make(word)):
-            out["make"] = out["make"] or word
-        elif (known := known_word(word)) is not None:
-            if known in _COLOUR_OF:
-                colour = _COLOUR_OF[known] if colour in ("", "blue") else colour
-            elif known in _KIND_OF and len(known) > 1:
-                votes[_KIND_OF[known]] = votes.get(_KIND_OF[known], 0) + 1
-        elif make and len(word) > 3 and (word in make or _near(word, make)):
-            out["make"] = out["make"] or make
-        else:
-            rest.append(word)
-            continue
-        rest.append(None)
-    out["colour"] = colour
-    if votes:
-        out["kind"] = max(votes, key=votes.get)
-    if not out["code"]:
-        out["name"] = _name_of(rest)
+    out["words"] = " ".join([w for w in _WORD.findall(text) if len(w) > 1])
     return out
 
 
+class Vocabulary:
+    """What the words of titles are: makes, variants (colours and what else tells articles of one model apart, synonyms alike), words that many makes use, and the rest, which names models."""
+
+    def __init__(self, common: set[str] | frozenset[str], variants: dict[str, str] | None = None, known_make=None):
+        self.variants = {**_COLOUR_OF, **(variants or {})}
+        self.common = frozenset(common) | _OF_COUNTS | set(self.variants)
+        self.known_make = known_make or (lambda word: False)
+        self.near: dict[str, str] = {}
+        for w in sorted(self.common):
+            if len(w) >= 6 and w.isalpha():
+                for d in {w} | _deletes(w):
+                    self.near.setdefault(d, w)
+        self.known = lru_cache(maxsize=200_000)(self._known)
+        self.roles = lru_cache(maxsize=200_000)(self._roles)
+
+    def _known(self, word: str) -> str | None:
+        """The common word that ``word`` is, also misspelt: from six letters on with one letter wrong, left out, doubled or exchanged with the next, shorter ones with two exchanged or one doubled."""
+        if word in self.common:
+            return word
+        if len(word) >= 5 and word in self.near:
+            return self.near[word]
+        if len(word) >= 6:
+            return next((self.near.get(d, d) for d in sorted(_deletes(word)) if d in self.near or (len(d) == 5 and d in self.common)), None)
+        if len(word) >= 4:
+            for i in range(len(word) - 1):
+                other = word[:i] + word[i] + word[i + 2 :] if word[i] == word[i + 1] else word[:i] + word[i + 1] + word[i] + word[i + 2 :]
+                if len(other) >= 3 and other in self.common:
+                    return other
+        return None
+
+    def _roles(self, words: str, make: str) -> tuple[str, str, str]:
+        """Make, name of the model and variant that ``words`` state, ``make`` being that of the vendor field."""
+        said, classes = "", set()
+        rest: list[str | None] = []
+        for word in words.split(" ") if words else ():
+            if word == make or (len(word) > 3 and self.known_make(word)):
+                said = said or word
+            elif (known := self.known(word)) is not None:
+                if known in self.variants:
+                    classes.add(self.variants[known])
+            elif make and len(word) > 3 and (word in make or _near(word, make)):
+                said = said or make
+            else:
+                rest.append(word)
+                continue
+            rest.append(None)
+        if len(classes) > 1:
+            classes.discard("blue")  # as in navy blue
+        return said, _name_of(rest), "/".join(sorted(classes))
+
+
+def parse_title(title: str | None, make: str, vocabulary: Vocabulary) -> dict:
+    """Attributes that a title states: make, code, name, size, count, colour, pack (each blank if not stated), cut and goods."""
+    out = stated(title)
+    said, name, colour = vocabulary.roles(out["words"], make)
+    return out | {"make": said, "name": "" if out["code"] else name, "colour": colour}
+
+
 def _name_of(words: list[str | None]) -> str:
-    """The model's name among the words that mean nothing else: the longest of six letters or more, else the first two neighbours of three or more."""
+    """The model's name among the words that mean nothing else: a word of letters and digits, else the longest of six letters or more, else neighbours of three or more together."""
+    for w in words:
+        if w and not w.isalpha():
+            return w
     long = [w for w in words if w and len(w) >= 6]
     if long:
-        return max(long, key=len)
+        return max(long, key=len) if len(long) == 1 else "".join(long)
     for a, b in zip(words, words[1:]):
         if a and b and len(a) > 2 and len(b) > 2 and len(a) + len(b) >= 6:
             return a + b
