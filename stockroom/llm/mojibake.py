@@ -33,8 +33,6 @@ DENSE_SKELETON = 8
 BUCKETS = 1 << 18
 #: How much likelier (log, a character pair on average) a restored run must be: from UTF-8, whose bytes check themselves, so that it may even be rarer, and from others.
 GAIN_UTF8, GAIN_OTHER = -2.0, 2.0
-#: How often a text may have been misread over and over.
-ROUNDS = 3
 
 _MARK = "�"
 
@@ -248,12 +246,11 @@ class Restorer:
         key = run, left, right
         if steps is not None or key not in self.known:
             text, found, most, base = run, None, -math.inf, self.score(left + run + right)
-            for _ in range(ROUNDS):
-                step = self._once(text, left, right, self.steps if steps is None else steps, base)
-                if step is None:
-                    break
+            seen = {text}  # a text may have been misread over and over; encodings of single bytes can lead back to where they began
+            while (step := self._once(text, left, right, self.steps if steps is None else steps, base)) is not None and step[0] not in seen:
                 text, gain, enough = step
-                if enough and gain > most:
+                seen.add(text)
+                if enough and gain >= most:
                     found, most = text, gain
             if steps is not None:
                 return found
@@ -343,7 +340,7 @@ class Restorer:
             found.append((m.start(), m.end(), run, new))
         # the rest of a text in which some words were misread letter by letter was so too, where that makes it likelier
         for start, end, run, new in found:
-            if new is None and steps and len(run) < 400:
+            if new is None and steps:
                 base = self.score(f" {run} ")
                 for step in steps:
                     data = step[1].encode(run)

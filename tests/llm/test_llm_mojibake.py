@@ -82,3 +82,29 @@ def test_long_runs_teach_encodings_of_two_bytes(spark):
         docs += [(10 * k + i, line + clean, "", "", "") for i in range(3)] + [(10 * k + 9, line + misread(clean, "euc_jp", "cp1252"), "", "", "")]
         assert len(clean) > 200
     assert "euc_jp>cp1252" in M.learn(spark.createDataFrame(docs, DOCS))
+
+
+def test_long_runs_and_many_misreadings_are_restored():
+    """No length and no number of misreadings is left out."""
+    table = np.ones(M.BUCKETS, np.float32)
+    r = M.Restorer(["utf_8>cp1252"], table)
+    text = "Größe und Maß"
+    for _ in range(5):
+        text = misread(text, "utf_8", "cp1252")
+    assert r.text(text)[0] == "Größe und Maß"
+    for n in (300, 5000):
+        word = "".join(chr(0x430 + i * 7 % 32) for i in range(n))
+        assert M.explanations(word, misread(word, "utf_8", "cp1252")) and "koi8_r>cp1251" in M.explanations(word, misread(word, "koi8_r", "cp1251"))
+        assert r.text(f"a {misread(word, 'utf_8', 'cp1252')} b")[0] == f"a {word} b"
+
+
+def test_rest_of_a_text_is_restored_whatever_its_length():
+    """Long runs that alone aren't likely enough follow the words of the same text that are."""
+    rnd = np.random.default_rng(2)
+    table = rnd.random(M.BUCKETS).astype(np.float32) * 0.1
+    long = "".join(chr(0x430 + i * 11 % 32) for i in range(900))
+    word = "данные"
+    table[M._pairs_of(f" {word} ")] = 9.0
+    table[M._pairs_of(f" {long} ")] = 1.0
+    r = M.Restorer(["koi8_r>cp1251"], table)
+    assert r.text(f"x {misread(word, 'koi8_r', 'cp1251')} y {misread(long, 'koi8_r', 'cp1251')} z")[0] == f"x {word} y {long} z"
