@@ -49,7 +49,8 @@ _COLOUR_OF = {w: c for c, words in COLOURS.items() for w in words.split()}
 _UNIT_WORDS = sorted(UNITS, key=len, reverse=True)
 _NUMBER = r"(?<![\d.,])(\d+(?:[.,]\d+)?)"
 _SIZE = re.compile(rf"{_NUMBER}\s*(" + "|".join(re.escape(u).replace(r"\ ", r"\s?") for u in _UNIT_WORDS) + r")(?![a-z0-9])")
-_PACK = re.compile(r"\b(?:pack|set)\s+of\s+(\d+)\b|\bpk\s*/\s*(\d+)\b|\b(\d+)\s*-?\s*pack\b|\b(\d+)\s*er[\s-]*(?:set|pack)\b|\b(\d+)\s*x(?![a-z0-9])|(?<![a-z0-9])x\s*(\d+)\b(?!\s*(?:cm|mm|m)\b)")
+_PACK = re.compile(r"\b(?:pack|set)\s+of\s+(\d+)\b|\bpk\s*/\s*(\d+)\b|\b(\d+)\s*-?\s*pack\b|\b(\d+)\s*er[\s-]*(?:set|pack)\b")
+_TIMES = re.compile(r"\b(\d+)\s*x(?![a-z0-9])|(?<![a-z0-9])x\s*(\d+)\b(?!\s*(?:cm|mm|m)\b)")
 _COUNT = re.compile(r"\bbox\s+of\s+(\d+)\b|\b(\d+)\s*/\s*pk\b")
 #: A model code: letters and digits in one word or with a joint, a blank only before four digits or more; a number with a unit behind it is none.
 _CODE = re.compile(
@@ -58,7 +59,7 @@ _CODE = re.compile(
     + r")(?![a-z0-9]))"
 )
 SIGNS = re.compile(r"[^a-z0-9]")
-_WORD = re.compile(r"[a-z]+\d{0,3}(?![a-z0-9])|[a-z]+")
+_WORD = re.compile(r"[a-z]+(?:\d{1,3}(?![a-z0-9]))?")
 _DELIVERY = re.compile(r"\b\d+\s*-\s*\d+\s+days?\b")
 
 
@@ -198,10 +199,13 @@ def stated(title: str | None) -> dict:
             out["code"] = code
             text = f"{text[: m.start()]} | {text[m.end() :]}"
             break
-    if m := _PACK.search(text):
+    m = _PACK.search(text) if "pack" in text or "set" in text or "pk" in text else None
+    if m is None and "x" in text:
+        m = _TIMES.search(text)
+    if m:
         out["pack"] = str(int(next(g for g in m.groups() if g)))
         text = f"{text[: m.start()]} | {text[m.end() :]}"
-    if m := _COUNT.search(text):
+    if ("box" in text or "/" in text) and (m := _COUNT.search(text)):
         out["count"] = str(int(next(g for g in m.groups() if g)))
         text = f"{text[: m.start()]} | {text[m.end() :]}"
 
