@@ -9,6 +9,7 @@ cut into buckets by key hash, so that no task ever holds a whole group.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 import re
@@ -19,6 +20,7 @@ from decimal import Decimal, InvalidOperation
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -251,11 +253,25 @@ def _latest(pair: np.ndarray, key: np.ndarray, ident: np.ndarray, row: np.ndarra
     return pair[last], key[last], ident[last], row[last]
 
 
+def _new_groups(t: pa.Table) -> np.ndarray:
+    """Whether a row begins a new group: bucket of a pair of snapshots, told apart by the pair too where hashes are equal."""
+    new = np.ones(t.num_rows, bool)
+    if t.num_rows > 1:
+        new[1:] = np.any([_differs(t[c].combine_chunks()) for c in ("group", "domain", "from_id", "to_id")], axis=0)
+    return new
+
+
+def _differs(column: pa.Array) -> np.ndarray:
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    unequal = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return unequal | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+
+
 def _diff_table(t: pa.Table) -> pa.RecordBatch:
     """Differences of all whole groups in ``t`` (sorted by ``group``): set differences by binary search in sorted arrays."""
-    group = t["group"].to_numpy()
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    pair = np.cumsum(np.append(False, group[1:] != group[:-1]))
+    fresh = _new_groups(t)
+    starts = np.flatnonzero(fresh)
+    pair = np.cumsum(fresh) - 1
     keys = t["keys"].combine_chunks()
     counts = np.diff(keys.offsets.to_numpy())
     first, last = keys.offsets[0].as_py(), keys.offsets[-1].as_py()
@@ -316,8 +332,7 @@ def _diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size < _CHUNK:
             continue
         t = pa.Table.from_batches(held)
-        group = t["group"].to_numpy()
-        cut = int(np.searchsorted(group, group[-1]))
+        cut = int(np.flatnonzero(_new_groups(t))[-1])
         if cut:
             yield _diff_table(t.slice(0, cut))
             held, size = t.slice(cut).combine_chunks().to_batches(), 0
@@ -348,20 +363,24 @@ def diffs(compacted: DataFrame, pairs: DataFrame) -> DataFrame:
     of_bucket = F.filter(F.arrays_zip("keys", "rows"), lambda x: x["keys"].bitwiseAND(F.col("n").cast("long") - 1) == F.col("b"))
     met = met.withColumn("z", F.when(fine, of_bucket)).withColumns({"keys": F.when(fine, F.col("z.keys")).otherwise(F.col("keys")), "rows": F.when(fine, F.col("z.rows")).otherwise(F.col("rows"))}).drop("z")
     met = met.select(F.xxhash64("domain", "from_id", "to_id", "b").alias("group"), *_HEAD, "id", (F.col("side") == "b").alias("later"), "keys", "rows")
-    return met.repartition("group").sortWithinPartitions("group").mapInArrow(_diff, DIFFS)
+    return met.repartition("group").sortWithinPartitions("group", "domain", "from_id", "to_id").mapInArrow(_diff, DIFFS)
 
 
 def with_texts(found: DataFrame, compacted: DataFrame, versions: bool = False) -> DataFrame:
-    """``found`` with the title_key (and version) of each difference, read only for keys that differ.
+    """``found`` with the title_key of its ``key`` (and the version of its ``row``), read only for hashes that occur in it.
 
-    Per delivery the wanted hashes are gathered, joined with the delivery's texts and cut down to the wanted ones before
-    the texts are shuffled.
+    A text depends on its hash alone, so each task gives each text once before anything is shuffled, however many deliveries repeat it.
     """
-    wanted = found.select(F.col("delivery").alias("id"), "key").distinct()
-    texts = compacted.select("id", F.explode(F.arrays_zip(*["keys", "titles", *["versions"] * versions])).alias("x"))
-    columns = [F.col("x.keys").alias("key"), F.col("x.titles").alias("title_key"), *[F.col("x.versions").alias("version")] * versions]
-    texts = texts.select("id", *columns).join(wanted, ["id", "key"], "left_semi")
-    return found.join(texts.withColumnRenamed("id", "delivery"), ["delivery", "key"])
+
+    def texts(hashes: str, column: str, wanted: DataFrame) -> DataFrame:
+        once = compacted.select(F.explode(F.arrays_zip(hashes, column)).alias("x")).groupBy(F.col(f"x.{hashes}").alias("hash")).agg(F.min(f"x.{column}").alias("text"))
+        return wanted.distinct().join(once, "hash")
+
+    named = texts("keys", "titles", found.select(F.col("key").alias("hash"))).withColumnsRenamed({"hash": "key", "text": "title_key"})
+    found = found.join(named, "key")
+    if versions:
+        found = found.join(texts("rows", "versions", found.select(F.col("row").alias("hash"))).withColumnsRenamed({"hash": "row", "text": "version"}), "row")
+    return found
 
 
 def current_pairs(snaps: DataFrame) -> DataFrame:
@@ -376,47 +395,174 @@ def changes(deliveries: DataFrame, **names: str) -> DataFrame:
     """
     compacted = staged(compact(deliveries, **names))
     pairs = current_pairs(snapshots_of(compacted)).where("to_id is not null")
-    found = diffs(compacted, pairs)
+    found = staged(diffs(compacted, pairs))
     return with_texts(found, compacted).select("domain", "from_id", "to_id", "title_key", "change")
 
 
-def ledger(deliveries: DataFrame, **names: str) -> DataFrame:
-    """The bitemporal ledger: domain, title_key, price, currency, vendor, in_stock, from_id, to_id, recorded_from, recorded_to.
+#: The ledger without texts: a version (``row``, a hash) of a product (``key``) valid from a snapshot on until another, as believed from an arrival on until another.
+BELIEFS = "domain string, key long, row long, from_id long, from_instant long, to_id long, to_instant long, recorded_from long, recorded_to long"
+_BELIEFS = pa.schema([("domain", pa.string()), *[(c, pa.int64()) for c in ("key", "row", "from_id", "from_instant", "to_id", "to_instant", "recorded_from", "recorded_to")]])
 
-    Each row is the belief, held from the arrival ``recorded_from`` until ``recorded_to`` (null: still), that the product had this
-    version from snapshot ``from_id`` until its then next snapshot ``to_id`` (null: none yet). A late snapshot splits the interval it
-    falls in: the older row gets its ``recorded_to`` and two rows follow it; no row is overwritten.
-    """
-    compacted = staged(compact(deliveries, **names))
-    pairs = neighbours(snapshots_of(compacted))
-    return _intervals(compacted, pairs)
 
+def _pairs_with_heads(snaps: DataFrame) -> DataFrame:
+    """The pairs of ``neighbours`` that have a later side, and those of each snapshot with none before it, as long as none was known."""
+    inner = neighbours(snaps).where("to_id is not null")
+    followed = inner.groupBy("domain", "to_id").agg(F.min("recorded_from").alias("first_before"))
+    heads = snaps.select("domain", F.col("snap_id").alias("to_id"), F.col("instant").alias("to_instant")).join(followed, ["domain", "to_id"], "left").where("first_before is null or first_before > to_id")
+    heads = heads.selectExpr("domain", "cast(null as long) as from_id", "cast(null as long) as from_instant", "to_id", "to_instant", "to_id as recorded_from", "first_before as recorded_to")
+    return staged(inner.select(heads.columns).unionByName(heads))
 
-def _intervals(compacted: DataFrame, pairs: DataFrame) -> DataFrame:
-    products = compacted.select("domain", "instant", "id", F.explode(F.arrays_zip("titles", "versions")).alias("x")).select("domain", "instant", "id", "x.titles", "x.versions")
-    last = products.groupBy("domain", "instant", F.col("titles").alias("title_key")).agg(F.max_by("versions", "id").alias("version"))
-    parsed = F.from_json("version", "array<string>")
-    joined = last.join(pairs.withColumnRenamed("from_instant", "instant"), ["domain", "instant"])
-    return joined.withColumn("v", parsed).selectExpr(
-        "domain", "title_key", "v[0] as price", "v[1] as currency", "v[2] as vendor", "v[3] = 'true' as in_stock", "from_id", "to_id", "recorded_from", "recorded_to"
-    )
 
+def _edges(compacted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What the differences of ``pairs`` say of each product: at ``to_instant`` it got version ``row`` (null: it went), as believed from ``recorded_from`` until ``recorded_to``."""
+    found = diffs(compacted, pairs.where("to_id is not null"))
+    times = pairs.select("domain", "to_id", "to_instant").distinct()
+    return found.join(times, ["domain", "to_id"]).select("domain", "key", F.col("new_row").alias("row"), "to_id", "to_instant", "recorded_from", "recorded_to")
 
-def versions(deliveries: DataFrame, **names: str) -> DataFrame:
-    """Unbroken runs of equal versions as known now: domain, title_key, from_id, to_id (0: still valid).
 
-    The open rows of the ledger (``recorded_to`` null) are coalesced without building them: a run starts where the difference to
-    the preceding snapshot is an addition or a change, and ends at the next removal or change, so only differences are sorted per
-    product. The first snapshot of a domain is compared with an empty one.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the ledger from events sorted by product and recorded time, a product at a time.
+
+    An event (``on``) puts an edge into the product's line of valid time or takes it out; a belief reaches from an edge with a version to the next edge. After each arrival only
+    the edges touched and those before them can have another end: their beliefs are closed, and new ones opened. Beliefs known before (``since``) are already open.
+    """
+    out: list[tuple] = []
+    product, now = None, None
+    line: list[tuple[int, int]] = []  # (instant, snapshot) of the edges believed now
+    rows: dict[tuple[int, int], int | None] = {}
+    opened: dict[tuple[int, int], tuple] = {}  # row, end and arrival of the open beliefs
+    touched: set[tuple[int, int]] = set()
+
+    def settle() -> None:
+        if not touched:
+            return
+        look = set()
+        for edge in touched:
+            i = bisect.bisect_left(line, edge)
+            look |= {edge, *line[max(0, i - 1) : i]}
+        for edge in sorted(look):
+            i = bisect.bisect_left(line, edge)
+            row = rows.get(edge)
+            end = line[i + 1] if i + 1 < len(line) else (None, None)
+            belief = (row, end) if row is not None else None
+            before = opened.get(edge)
+            if before is not None and before[:2] != belief:
+                del opened[edge]
+                if before[2] != now:  # never believed between two arrivals
+                    close(edge, before, now)
+            if belief is not None and edge not in opened:
+                opened[edge] = (*belief, now)
+        touched.clear()
+
+    def close(edge: tuple[int, int], belief: tuple, until: int | None) -> None:
+        row, (end_instant, end_id), since = belief
+        out.append((*product, row, edge[1], edge[0], end_id, end_instant, since, until))
+
+    def finish() -> None:
+        settle()
+        for edge in sorted(opened):
+            close(edge, opened[edge], None)
+
+    for batch in batches:
+        for domain, key, at, on, row, ident, instant, since in zip(*(c.to_pylist() for c in batch.columns)):
+            if (domain, key) != product:
+                if product is not None:
+                    finish()
+                product, now = (domain, key), at
+                line, rows, opened = [], {}, {}
+            elif at != now:
+                settle()
+                now = at
+            edge = (instant, ident)
+            if on:
+                if edge not in rows:
+                    bisect.insort(line, edge)
+                rows[edge] = row
+            elif edge in rows:
+                del rows[edge]
+                line.pop(bisect.bisect_left(line, edge))
+            if since is None:
+                touched.add(edge)
+                continue
+            # beliefs known before come in the order of instants: the next edge is the end of the one before it
+            if len(line) > 1 and (before := opened.get(line[-2])):
+                opened[line[-2]] = (before[0], edge, before[2])
+            if row is not None:
+                opened[edge] = (row, (None, None), since)
+        if len(out) >= 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _BELIEFS)], schema=_BELIEFS)
+            out.clear()
+    if product is not None:
+        finish()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _BELIEFS)], schema=_BELIEFS)
+
+
+_EVENT = ["domain", "key", "at", "on", "row", "to_id", "to_instant", "since"]
+
+
+def _swept(events: DataFrame) -> DataFrame:
+    # at one arrival what goes comes before what comes
+    return events.select(*_EVENT).repartition("domain", "key").sortWithinPartitions("domain", "key", "at", "on", "to_instant").mapInArrow(_sweep, BELIEFS)
+
+
+def _events(edges: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("long").alias("since")
+    begun = edges.select("domain", "key", F.col("recorded_from").alias("at"), F.lit(True).alias("on"), "row", "to_id", "to_instant", none)
+    ended = edges.where("recorded_to is not null").select("domain", "key", F.col("recorded_to").alias("at"), F.lit(False).alias("on"), "row", "to_id", "to_instant", none)
+    return begun.unionByName(ended)
+
+
+def beliefs(compacted: DataFrame) -> DataFrame:
+    """The bitemporal ledger of all deliveries of a staged ``compact`` table, without texts: see ``BELIEFS``.
+
+    Each row says that, from the arrival ``recorded_from`` until ``recorded_to`` (null: still), the product was believed to have version ``row`` from snapshot ``from_id`` until
+    ``to_id`` (null: no later snapshot differs). A late snapshot splits the interval it falls in: the older row gets its ``recorded_to`` and new rows follow it; none is overwritten.
+    Only changes make rows, however many snapshots repeat a version.
     """
+    return _swept(_events(_edges(compacted, _pairs_with_heads(snapshots_of(compacted)))))
+
+
+def supersede(known: DataFrame, compacted: DataFrame, arrived: int) -> DataFrame:
+    """What the deliveries from id ``arrived`` on add to the ledger ``known``: rows to be appended (``known``'s columns).
+
+    ``compacted`` has all deliveries. Only pairs of snapshots that those deliveries made or ended are compared, and only the products that differ there are swept, from the
+    beliefs about them that are open. A row with the keys of a known open one and a ``recorded_to`` supersedes it (``current`` reads it so); the others are new.
+    Snapshots that get a further delivery of their instant keep what was recorded of them.
+    """
+    snaps = snapshots_of(compacted)
+    pairs = _pairs_with_heads(snaps).where((F.col("recorded_from") >= arrived) | (F.col("recorded_to") >= arrived))
+    edges = staged(_edges(compacted, pairs))
+    open_ = current(known).where("recorded_to is null").join(edges.select("domain", "key").distinct(), ["domain", "key"], "left_semi")
+    open_ = staged(open_)
+    starts = open_.select("domain", "key", F.lit(-1).cast("long").alias("at"), F.lit(True).alias("on"), "row", F.col("from_id").alias("to_id"), F.col("from_instant").alias("to_instant"), F.col("recorded_from").alias("since"))
+    gone = open_.where("to_id is not null").select("domain", "key", "to_id", "to_instant").join(open_.select("domain", "key", F.col("from_id").alias("to_id")), ["domain", "key", "to_id"], "left_anti")
+    ends = gone.select("domain", "key", F.lit(-1).cast("long").alias("at"), F.lit(True).alias("on"), F.lit(None).cast("long").alias("row"), "to_id", "to_instant", F.lit(0).cast("long").alias("since"))
+    late = _events(edges).where(F.col("at") >= arrived)
+    swept = _swept(starts.unionByName(ends).unionByName(late))
+    # beliefs that stay as they were aren't written again
+    same = ["domain", "key", "row", "from_id", "recorded_from"]
+    ended = lambda df: df.withColumn("_to", F.coalesce("to_id", F.lit(-1)))
+    still = ended(swept.where("recorded_to is null")).join(ended(open_).select(*same, "_to"), [*same, "_to"], "left_anti").drop("_to")
+    return swept.where("recorded_to is not null").unionByName(still)
+
+
+def current(appended: DataFrame) -> DataFrame:
+    """The ledger of an append-only table of its rows: of rows that differ in ``recorded_to`` only, the closed one counts."""
+    same = ["domain", "key", "row", "from_id", "from_instant", "to_id", "to_instant", "recorded_from"]
+    return appended.groupBy(*same).agg(F.min("recorded_to").alias("recorded_to"))
+
+
+def ledger(deliveries: DataFrame, **names: str) -> DataFrame:
+    """The bitemporal ledger with its texts: domain, title_key, price, currency, vendor, in_stock, from_id, to_id (null: none yet), recorded_from, recorded_to (null: still); see ``beliefs``."""
+    compacted = staged(compact(deliveries, **names))
+    v = F.from_json("version", "array<string>")
+    rows = with_texts(staged(beliefs(compacted)), compacted, versions=True).withColumn("v", v)
+    return rows.selectExpr("domain", "title_key", "v[0] as price", "v[1] as currency", "v[2] as vendor", "v[3] = 'true' as in_stock", "from_id", "to_id", "recorded_from", "recorded_to")
+
+
+def versions(deliveries: DataFrame, **names: str) -> DataFrame:
+    """Unbroken runs of equal versions as known now, the open rows of the ledger: domain, title_key, from_id, to_id (0: still valid)."""
     compacted = staged(compact(deliveries, **names))
-    pairs = current_pairs(snapshots_of(compacted))
-    inner = pairs.where("to_id is not null")
-    first = pairs.select("domain", F.col("from_id").alias("to_id"), F.col("from_instant").alias("to_instant")).join(inner.select("domain", "to_id"), ["domain", "to_id"], "left_anti")
-    first = first.selectExpr("domain", "cast(null as long) as from_id", "cast(null as long) as from_instant", "to_id", "to_instant", "to_id as recorded_from", "cast(null as long) as recorded_to")
-    edges = inner.unionByName(first)
-    times = edges.select("domain", "to_id", "to_instant")
-    found = diffs(compacted, edges).join(times, ["domain", "to_id"])
-    per_product = Window.partitionBy("domain", "key").orderBy("to_instant")
-    runs = found.withColumn("end_id", F.lead("to_id").over(per_product)).where("change <> 'removed'")
-    return with_texts(runs, compacted).select("domain", "title_key", F.col("to_id").alias("from_id"), F.coalesce("end_id", F.lit(0)).cast("long").alias("to_id"))
+    rows = staged(beliefs(compacted).where("recorded_to is null"))
+    return with_texts(rows, compacted).select("domain", "title_key", "from_id", F.coalesce("to_id", F.lit(0)).cast("long").alias("to_id"))
