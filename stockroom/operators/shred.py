@@ -3,8 +3,8 @@
 The schema graph has one node per element name and one edge per "element occurs in element". A pass over
 the records finds it (per partition, then merged: it is as small as the schema, not as the data). An
 element gets a table of its own if it occurs as a list, inside two different parents, or inside itself;
-all others are inlined into the nearest ancestor that has one, as columns named by the path with ``_``.
-Each row has its ``node_id``, its parent's ``parent_id``, its place ``path`` and its position ``pos``.
+all others are inlined into the nearest ancestor that has one, as columns named by the path with ``_`` (numbered where names clash)
+and typed as the values are. Each row has its ``node_id``, its parent's ``parent_id``, its place ``path`` and its position ``pos``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from stockroom.session import staged
+
 ROOT = ""
 
 
@@ -64,9 +66,24 @@ def as_text(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+#: Types of scalars; a column of several is text, of whole and other numbers double.
+SCALARS = ("boolean", "long", "double", "string")
+#: Between the names of a path within a row's map of columns.
+JOINT = "\x1f"
+
+
+def kind_of(value) -> str:
+    """The type of a scalar."""
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int):
+        return "long" if -(1 << 63) <= value < 1 << 63 else "string"
+    return "double" if isinstance(value, float) else "string"
+
+
 @dataclass(frozen=True)
 class Graph:
-    """Edges (parent, child) with how the child occurs: ``scalar``, ``object`` and ``list``; ``tables``: the elements that get one."""
+    """Edges (parent, child) with how the child occurs: ``object``, ``list`` or the type of a scalar (``boolean``, ``long``, ``double``, ``string``); ``tables``: the elements that get one."""
 
     edges: tuple[tuple[str, str, str], ...]
     tables: tuple[str, ...]
@@ -75,7 +92,7 @@ class Graph:
     @staticmethod
     def of(edges: Iterable[tuple[str, str, str]], root: str, lists: Iterable[str] = ()) -> Graph:
         edges = sorted(set(edges))
-        nested = {(p, c) for p, c, kind in edges if kind != "scalar"}
+        nested = {(p, c) for p, c, kind in edges if kind not in SCALARS}
         repeated = {c for _, c, kind in edges if kind == "list"} | set(lists) | {root}
         parents: dict[str, set[str]] = {}
         below: dict[str, set[str]] = {}
@@ -113,7 +130,7 @@ def _edges_of(value, name: str, found: set) -> None:
                 found.add((name, key, "object"))
                 todo.append((key, child))
             elif child is not None:
-                found.add((name, key, "scalar"))
+                found.add((name, key, kind_of(child)))
 
 
 def root_elements(body: str | None, container: str | None, root: str) -> tuple[list, str]:
@@ -176,7 +193,7 @@ def _rows_of(records: list, start: str, graph: Graph, page: int) -> Iterator[tup
         columns: dict[str, str] = {}
         plain = None
         if isinstance(value, dict):
-            inside = [("", "", value)]
+            inside: list[tuple[tuple[str, ...], str, dict]] = [((), "", value)]
             children = []
             while inside:
                 prefix, places, obj = inside.pop()
@@ -185,9 +202,9 @@ def _rows_of(records: list, start: str, graph: Graph, page: int) -> Iterator[tup
                     if key in tables:
                         children += [(x, key, f"{path}{place}[{i}]", path, table, i) for i, x in enumerate(elements(child)) if x is not None]
                     elif isinstance(child, dict):
-                        inside.append((f"{prefix}{key}_", place, child))
+                        inside.append(((*prefix, key), place, child))
                     elif child is not None:
-                        columns[prefix + key] = as_text(child)
+                        columns[JOINT.join((*prefix, key))] = as_text(child)
             todo += reversed(children)
         else:
             plain = as_text(value)
@@ -231,30 +248,47 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def columns_of(graph: Graph, table: str) -> list[str]:
-    """The columns inlined into ``table``: its scalars and those of singleton descendants."""
+#: Columns that each table has beside the inlined ones.
+FIXED = ("node_id", "parent_id", "parent_table", "page_key", "path", "pos", "item")
+
+
+def columns_of(graph: Graph, table: str) -> list[tuple[str, str, str]]:
+    """The columns inlined into ``table`` (its scalars and those of singleton descendants): path (names with ``JOINT``), name and type.
+
+    Names are the paths with ``_``; where paths give one name (or that of a fixed column), letter case apart, those after the first in the order of paths are numbered from 2 on.
+    """
     own = set(graph.tables)
-    found: list[str] = []
-    todo = [(table, "")]
+    kinds: dict[tuple[str, ...], set[str]] = {}
+    todo: list[tuple[str, tuple[str, ...]]] = [(table, ())]
     while todo:
         name, prefix = todo.pop()
         for p, c, kind in graph.edges:
             if p == name and c not in own:
-                if kind == "scalar":
-                    found.append(prefix + c)
+                if kind in SCALARS:
+                    kinds.setdefault((*prefix, c), set()).add(kind)
                 else:
-                    todo.append((c, f"{prefix}{c}_"))
-    return sorted(set(found))
+                    todo.append((c, (*prefix, c)))
+    taken, found = set(FIXED), []
+    for path in sorted(kinds):
+        name, n = "_".join(path), 1
+        while (unique := name if n == 1 else f"{name}_{n}").lower() in taken:
+            n += 1
+        taken.add(unique.lower())
+        of = kinds[path]
+        found.append((JOINT.join(path), unique, of.pop() if len(of) == 1 else "double" if of == {"long", "double"} else "string"))
+    return found
 
 
 def flat_tables(pages: DataFrame, key: str, body: str, container: str | None, root: str, lists: Iterable[str] = ()) -> dict[str, DataFrame]:
-    """One DataFrame per table of the schema graph, with typed keys: ``node_id``, ``parent_id`` (null at the root), ``parent_table``, ``page_key``, ``path``, ``pos``, ``item`` (an element that is plain text) and the inlined columns as text."""
+    """One DataFrame per table of the schema graph: ``node_id``, ``parent_id`` (null at the root), ``parent_table``, ``page_key``, ``path``, ``pos``, ``item`` (an element that is plain text) and the inlined columns in the types of their values.
+
+    Bodies are parsed once for the schema and once for all tables, whose rows are kept by table.
+    """
     graph = schema_graph(pages, body, container, root, lists)
-    rows = nodes(pages, key, body, container, graph)
+    rows = staged(nodes(pages, key, body, container, graph), "node_table")
     identity = lambda path: F.when(F.col(path).isNotNull(), F.concat_ws("/", F.col("page_key").cast("string"), F.col(path)))
     tables = {}
     for name in graph.tables:
-        fixed = {"node_id", "parent_id", "parent_table", "page_key", "path", "pos", "item"}
-        inlined = [F.col("columns").getItem(c).alias(c if c.lower() not in fixed else f"{c}_") for c in columns_of(graph, name)]
+        inlined = [F.col("columns").getItem(path).try_cast(kind).alias(column) for path, column, kind in columns_of(graph, name)]
         tables[name] = rows.where(F.col("node_table") == name).select(identity("path").alias("node_id"), identity("parent_path").alias("parent_id"), "parent_table", "page_key", "path", "pos", "item", *inlined)
     return tables

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockroom.operators import history, shred
@@ -26,16 +28,17 @@ def p2_tables(spark: SparkSession, sf: str, source: str = "shopify") -> dict[str
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row of the flat tables that counts."""
     parts = []
-    for source, layout in LAYOUTS.items():
-        pages = table(spark, sf, f"{source}_products")
-        graph = shred.schema_graph(pages, "body", layout["container"], layout["root"], layout["lists"])
-        rows = shred.nodes(pages, "page_id", "body", layout["container"], graph).where(F.col("path").rlike(COUNTED[source]))
-        name = F.lit("name")
-        for element, key in ITEM.items():
-            name = F.when(F.col("node_table") == element, F.lit(key)).otherwise(name)
-        parts.append(rows.select(F.lit(source).alias("src"), F.col("page_key").alias("page_id"), "path", F.coalesce("item", F.col("columns")[name], F.lit("")).alias("item_id")))
-    return parts[0].unionByName(parts[1])
+    for source in LAYOUTS:
+        for name, rows in p2_tables(spark, sf, source).items():
+            key = ITEM.get(name, "name")
+            kind = dict(rows.dtypes).get(key)
+            column = F.col(key).cast("string") if kind else F.lit(None).cast("string")
+            if kind == "double":  # whole numbers among others
+                column = F.coalesce(F.when(F.col(key) == F.floor(key), F.col(key).cast("decimal(38,0)").cast("string")), column)
+            parts.append(rows.where(F.col("path").rlike(COUNTED[source])).select(F.lit(source).alias("src"), F.col("page_key").alias("page_id"), "path", F.coalesce("item", column, F.lit("")).alias("item_id")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p2_variants(spark: SparkSession, sf: str) -> DataFrame:
