@@ -1,14 +1,14 @@
 """Fuzzy and exact matching of products by title and identifier.
 
-Similarity is Ratcliff/Obershelp's ratio of stripped lower-case titles; it isn't symmetric, so argument order is kept. Candidates come from a lossless
-prefix filter: at ratio t two titles share t(|a|+|b|)/2 characters (with multiplicity) at least, so their rarest characters, |a|(1 - t/(2-t)) + 1 of
-them, must meet. Distinct titles are compared, not rows, and nothing is ever crossed.
+Similarity is Ratcliff/Obershelp's ratio of stripped lower-case titles; it isn't symmetric, so argument order is kept. Distinct titles are compared, not rows, in three
+lossless steps. (1) At ratio t two titles of n characters in all match in t n / 2 of them, in at most n (1 - t) + 1 blocks, so they share
+t n / 2 - (q - 1) (n (1 - t) + 1) of their q-grams, in the same order and with places that differ by no more than the longer title has unmatched characters: the rarest q-grams
+of the two must meet. (2) What meets is bounded by the counts of characters and of pairs of them, in numpy. (3) The ratio itself is computed for the rest.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import takewhile
@@ -17,14 +17,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from stockroom.functions import text as X
 from stockroom.session import staged
 
-#: Fixed order of characters from common to rare; all others are rarer.
-_COMMON = " etaoinsrhldcumfpgwybvk0123456789xjqz"
-_RANK = {c: i for i, c in enumerate(_COMMON)}
+#: Buckets of the table of how often q-grams occur (256 kB), which only orders them.
+BUCKETS = 1 << 16
 
 
 def ratio(a: str, b: str) -> float:
@@ -44,36 +44,140 @@ def title_similarity(a, b):
     return similarity(X.key(a), X.key(b))
 
 
-def _prefixes(threshold: float):
-    share = threshold / (2 - threshold)
+def _length(threshold: float) -> int:
+    """The q of the q-grams: the longer, the rarer, but the more of them each difference breaks."""
+    return 3 if threshold >= 0.87 else 2 if threshold >= 0.72 else 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _shared(n: int, q: int, threshold: float) -> int:
+    """How many q-grams a title of ``n`` characters shares with any similar one at least; not above 0 if none is sure."""
+    both = 2 * n / (2 - threshold)  # with the shortest partner
+    return math.ceil(both * threshold / 2 - (q - 1) * (both * (1 - threshold) + 1) - 1e-9)
+
+
+def _grams(title: str, q: int) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(title[i : i + q]) - (1 << 63) for i in range(len(title) - q + 1)]
+
+
+def _frequencies(titles: DataFrame, q: int) -> np.ndarray:
+    """How many q-grams of the titles fall into each bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            out: list[tuple] = []
             for t in batch.column(0).to_pylist():
-                tokens = sorted(((c, i) for c, n in Counter(t).items() for i in range(n)), key=lambda x: (-x[1], -_RANK.get(x[0], 99), x[0]))
-                keep = len(t) - math.ceil(len(t) * share - 1e-9) + 1
-                out += [(t, len(t), f"{c}{i}") for c, i in tokens[: max(1, keep)]] or [(t, 0, "")]
-            if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string())], names=["t", "n", "token"])
+                total += np.bincount(np.array(_grams(t, q), np.int64) & (BUCKETS - 1), minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+
+    table = np.zeros(BUCKETS, np.int64)
+    for r in titles.select("t").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # BUCKETS rows at most
+        table[r.bucket] = r.n
+    return table
+
 
-    return run
+def _signatures(titles: DataFrame, threshold: float) -> DataFrame:
+    """``titles`` with one row per q-gram of which a similar title must have one: ``gram``, ``at`` (its place) and ``n`` (the title's length)."""
+    q = _length(threshold)
+    shared = titles.sparkSession.sparkContext.broadcast({k: _frequencies(titles, k) for k in {q, 1}})
+    carried = [c for c in titles.columns if c != "t"]
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in titles.schema if f.name != "t") + ", gram long, at int, n int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, grams, places, lengths = [], [], [], []
+            for i, t in enumerate(batch.column("t").to_pylist()):
+                # titles too short for sure q-grams have all of them, for longer ones, and single characters, for each other
+                kinds = [(q, 0), (1, 1)] if q > 1 and _shared(len(t), q, threshold) < 1 else [(q, 0)]
+                for k, mark in kinds:
+                    found = _grams(t, k)
+                    need = _shared(len(t), k, threshold)
+                    keep = len(found) - need + 1 if need >= 1 else len(found)
+                    table = shared.value[k]
+                    for _, g, at in sorted((table[g & (BUCKETS - 1)], g, at) for at, g in enumerate(found))[:keep]:
+                        rows.append(i)
+                        grams.append(g ^ mark)
+                        places.append(at)
+                        lengths.append(len(t))
+            taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in carried]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(grams, pa.int64()), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())], names=[*carried, "gram", "at", "n"])
+
+    return titles.select("t", *carried).mapInArrow(run, out)
+
+
+def _counts(texts: list[str], q: int, size: int) -> np.ndarray:
+    """How often each bucket of q-grams occurs in each text."""
+    table = np.zeros((len(texts), size), np.uint16)
+    for row, t in zip(table, texts):
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if len(points) >= q:
+            at = points if q == 1 else points[:-1] * 31 + points[1:]
+            row += np.bincount(at % size, minlength=size).astype(np.uint16)
+    return table
+
+
+def _ratios(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (ta, tb) with ``sim`` of those whose ratio reaches the threshold; bounds from counts come first."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            texts = sorted({*a, *b})
+            place = {t: i for i, t in enumerate(texts)}
+            ia, ib = np.array([place[t] for t in a], np.int64), np.array([place[t] for t in b], np.int64)
+            both = np.array([len(x) + len(y) for x, y in zip(a, b)], float)
+            likely = np.arange(len(a))
+            for q, size, least in ((1, 96, threshold / 2 * both), (2, 384, (1.5 * threshold - 1) * both - 1)):
+                table = _counts(texts, q, size)
+                kept = [np.minimum(table[ia[part]], table[ib[part]]).sum(1) >= least[part] - 1e-6 for part in np.array_split(likely, max(1, len(likely) // 4096))]
+                likely = likely[np.concatenate(kept)] if kept else likely
+            found, sims = [], []
+            matcher = SequenceMatcher(None)
+            last = None
+            for i in sorted(likely.tolist(), key=lambda i: b[i]):
+                if b[i] != last:
+                    last = b[i]
+                    matcher.set_seq2(last)
+                matcher.set_seq1(a[i])
+                sim = matcher.ratio()
+                if sim >= threshold:
+                    found.append(i)
+                    sims.append(sim)
+            taken = batch.take(pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sims, pa.float64())], names=[*names, "sim"])
+
+    return pairs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", sim double")
+
+
+def candidates(titles: DataFrame, threshold: float, same: bool = False) -> DataFrame:
+    """``x``, ``y``: ids of the titles (t, id and in_a, in_b, or with ``same`` first) that may be similar; with ``same`` the one with the lower first is x."""
+    grams = staged(_signatures(titles, threshold))
+    sides = ("first",) if same else ("in_a", "in_b")
+    x = (grams if same else grams.where("in_a")).select("gram", F.col("id").alias("x"), F.col("at").alias("x_at"), F.col("n").alias("x_n"), *[F.col(c).alias(f"x_{c}") for c in sides])
+    y = (grams if same else grams.where("in_b")).select("gram", F.col("id").alias("y"), F.col("at").alias("y_at"), F.col("n").alias("y_n"), *[F.col(c).alias(f"y_{c}") for c in sides])
+    share = threshold / (2 - threshold)
+    near = (F.greatest("x_n", "y_n") * share - 1e-9 <= F.least("x_n", "y_n")) & (F.abs(F.col("x_at") - F.col("y_at")) <= F.greatest("x_n", "y_n") - (F.col("x_n") + F.col("y_n")) * (threshold / 2) + 1e-9)
+    pairs = x.join(y, "gram").where(near & (F.col("x_first") < F.col("y_first") if same else F.col("x") != F.col("y")))
+    return pairs.select("x", "y").distinct()
 
 
 def similar_titles(a: DataFrame, b: DataFrame, threshold: float, same: bool = False) -> DataFrame:
-    """``ta``, ``tb``, ``sim`` of the distinct titles (columns ``t``) with sim >= threshold and > 0; with ``same``, both sides are one set and equal titles aren't paired."""
+    """``ta``, ``tb``, ``sim`` of the distinct titles (columns ``t``) with sim >= threshold and > 0.
+
+    With ``same`` both sides are one set, each title of which has a ``first``; each pair comes out once, the title with the lower first as ``ta``, and equal titles aren't paired.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie above 0 and be 1 at most")
-    left = a.select("t").distinct().mapInArrow(_prefixes(threshold), "t string, n int, token string")
-    right = left if same else b.select("t").distinct().mapInArrow(_prefixes(threshold), "t string, n int, token string")
-    x, y = left.alias("x"), right.alias("y")
-    share = threshold / (2 - threshold)
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("y.n") >= F.col("x.n") * share - 1e-9) & (F.col("y.n") * share - 1e-9 <= F.col("x.n")))
-    pairs = pairs.select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb")).distinct()
-    equal = pairs.where("ta = tb").withColumn("sim", F.lit(1.0))
-    other = pairs.where("ta <> tb").withColumn("sim", similarity("ta", "tb")).where(F.col("sim") >= threshold)
-    return other if same else other.unionByName(equal)
+    if same:
+        titles = a.groupBy("t").agg(F.min("first").alias("first"))
+    else:
+        titles = a.select("t", F.lit(True).alias("in_a"), F.lit(False).alias("in_b")).unionByName(b.select("t", F.lit(False).alias("in_a"), F.lit(True).alias("in_b"))).groupBy("t").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    titles = staged(titles.where("t is not null").withColumn("id", F.monotonically_increasing_id()))
+    ids = candidates(titles, threshold, same)
+    named = lambda t, i: titles.select(F.col("t").alias(t), F.col("id").alias(i))
+    found = _ratios(ids.join(named("ta", "x"), "x").join(named("tb", "y"), "y").select("ta", "tb"), threshold)
+    return found if same else found.unionByName(titles.where("in_a and in_b").select(F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("sim")))
 
 
 def _parts(edges: DataFrame, titles: DataFrame) -> DataFrame:
@@ -161,9 +265,9 @@ def title_duplicates(products: DataFrame, threshold: float = 0.9) -> DataFrame:
     with the earlier first row is ``a``, as in comparing every later row with every earlier one.
     """
     classes = duplicate_members(products).groupBy("t").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
-    found = similar_titles(classes, classes, threshold, same=True)
+    found = similar_titles(classes.select("t", "first"), classes, threshold, same=True)
     ca, cb = classes.select(F.col("t").alias("ta"), F.col("first").alias("first_a"), F.col("n").alias("n_a")), classes.select(F.col("t").alias("tb"), F.col("first").alias("first_b"), F.col("n").alias("n_b"))
-    return found.join(ca, "ta").join(cb, "tb").where("first_a < first_b").select(F.col("ta").alias("title_a"), F.col("tb").alias("title_b"), "sim", "first_a", "first_b", "n_a", "n_b")
+    return found.join(ca, "ta").join(cb, "tb").select(F.col("ta").alias("title_a"), F.col("tb").alias("title_b"), "sim", "first_a", "first_b", "n_a", "n_b")
 
 
 def duplicate_members(products: DataFrame) -> DataFrame:
