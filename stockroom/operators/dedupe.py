@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockroom.functions import text as X
@@ -25,23 +25,40 @@ def same_offers(products: DataFrame, fields: list[str], by: tuple[str, ...] = ("
     return best.select("x.*")
 
 
+def _close(a: str, b: str) -> bool:
+    """Whether two titles name one product: one begins with the other, or their ratio is above 0.9."""
+    if a.startswith(b) or b.startswith(a):
+        return True
+    if 2 * min(len(a), len(b)) <= 0.9 * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() > 0.9 and m.ratio() > 0.9
+
+
+def _leaders(titles: pa.Table) -> pa.Table:
+    """For each title of a page (in order of its first row) the first row of the earliest leading title that it is close to; a title close to none leads."""
+    titles = titles.sort_by("first")
+    leading: list[tuple[str, int]] = []
+    found = []
+    for t, first in zip(titles.column("t").to_pylist(), titles.column("first").to_pylist()):
+        home = next((i for name, i in leading if _close(name, t)), None)
+        if home is None:
+            leading.append((t, first))
+        found.append(first if home is None else home)
+    return titles.append_column("lead", pa.array(found, pa.int64()))
+
+
 def merge_chunks(products: DataFrame, fields: list[str], by: str = "page_id") -> DataFrame:
-    """Products of one page read in overlapping chunks, merged: in order of idx each first one takes over later ones whose title is equal, a prefix or longer form, or of ratio above 0.9 to the
-    first one's, filling its empty fields. Products without a title go. Lists per page are short, so each page is one group."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").to_dict("records")
-        out, used = [], set()
-        key = lambda r: (r["title"] or "").strip().lower()
-        for i, row in enumerate(rows):
-            if i in used or not key(row):
-                continue
-            for j in range(i + 1, len(rows)):
-                a, b = key(row), key(rows[j])
-                if j not in used and b and (a.startswith(b) or b.startswith(a) or SequenceMatcher(None, a, b).ratio() > 0.9):
-                    used.add(j)
-                    row |= {f: rows[j][f] for f in fields if not row[f] and rows[j][f]}
-            out.append(row)
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return products.groupBy(by).applyInPandas(merge, products.schema)
+    """Products of one page read in overlapping chunks, merged: a title belongs to the earliest (by idx) leading title of the page that equals it, begins it or begins with it, or has a ratio above 0.9.
+
+    The leading row stays, and its empty ``fields`` are filled with the first value among its rows. Products without a title go. Equal titles of a page are one before titles are
+    compared, so that only distinct ones meet in one task.
+    """
+    rows = products.withColumn("_t", X.key("title")).where("_t <> ''")
+    titles = rows.groupBy(F.col(by).alias("page"), F.col("_t").alias("t")).agg(F.min(F.col("idx").cast("long")).alias("first"))
+    leads = titles.groupBy("page").applyInArrow(_leaders, f"page {products.schema[by].dataType.simpleString()}, t string, first long, lead long")
+    joined = rows.join(leads, F.col(by).eqNullSafe(F.col("page")) & (F.col("_t") == F.col("t")))
+    has = lambda f: F.col(f).isNotNull() & (F.col(f).cast("string") != "")
+    fill = [F.min_by(f, F.when(has(f), F.col("idx"))).alias(f"_{f}") for f in fields]
+    merged = joined.groupBy("page", "lead").agg(F.min_by(F.struct(*products.columns), "idx").alias("x"), *fill)
+    return merged.select(*[F.coalesce(f"_{c}", f"x.{c}").alias(c) if c in fields else F.col(f"x.{c}").alias(c) for c in products.columns])

@@ -131,7 +131,9 @@ def test_values(spark):
     assert all(r.w == r.g for r in df.select("w", discover.is_non_product("u").alias("g")).collect())
     v = spark.sql("select '1,299.00 EUR' a, '29,99' b, 'EUR 19.99' c, cast(null as string) d, '\\t x\\u00a0' e").select(*[X.price_string(c).alias(c) for c in "abcd"], X.stripped("e").alias("e"), X.money("c").alias("m")).collect()[0]
     assert (v.a.amount, v.a.currency) == ("1299.00", "EUR") and v.b.amount == "29.99" and v.c.amount == "EUR" and v.d.amount == "" and v.e == "x" and v.m == 0
-    assert H.price_of("was $9.99\nnow €1.299,00") == ("1299.00", "EUR") and H.price_of("XYZ 5.00") == ("5.00", None) and H.price_of("EUR 12.50") == ("12.50", "EUR") and H.price_of(None) is None and H.price_of("total $5") is None
+    texts = ["was $9.99\nnow €1.299,00", "XYZ 5.00", "EUR 12.50", None, "total $5", "1299.99 kr", "costs\n$ 7", "GBP 0 then USD 3,50", "12 EUR"]
+    got = {r.t: (r.p.price, r.p.currency) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", H.text_price("t").alias("p")).collect()}
+    assert [got[t] for t in texts] == [("1299.00", "EUR"), ("5.00", None), ("12.50", "EUR"), (None, None), (None, None), ("1299.99", "SEK"), ("7.00", "USD"), ("3.50", "USD"), ("12.00", "EUR")]
 
 
 def raws(spark, *cases):
