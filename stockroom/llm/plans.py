@@ -13,7 +13,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return survivors.by_given_trust(survivors.members(table(spark, sf, "products"), table(spark, sf, "stores")))
+    stores = table(spark, sf, "stores")
+    return survivors.by_given_trust(survivors.members(table(spark, sf, "products"), stores), survivors.levels_of(stores))
 
 
 def p5_truths(spark: SparkSession, sf: str) -> DataFrame:
