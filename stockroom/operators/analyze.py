@@ -147,6 +147,8 @@ def assortment_gaps(mine: DataFrame, others: DataFrame) -> DataFrame:
     return values(others).join(values(mine), ["kind", "value"], "left_anti")
 
 
-def ranked(df: DataFrame, by: list, *orders) -> DataFrame:
-    """The first row of each group in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*orders))).where("_n = 1").drop("_n")
+def top(df: DataFrame, n: int, *orders, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``n`` rows in the given order, of each group if ``by`` names any. Orders should end in a key, so that ties have one result."""
+    if not by:
+        return df.orderBy(*orders).limit(n)
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*orders))).where(F.col("_n") <= n).drop("_n")

@@ -5,20 +5,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockroom.functions import text as X
-
-# Places of product sitemaps, and paths, segments and endings that no product page has.
-PRODUCT_SITEMAPS = {"shopify": ("/sitemap_products_1.xml",), "woocommerce": ("/product-sitemap.xml", "/product-sitemap1.xml"), "magento": ("/pub/media/sitemap/sitemap.xml", "/media/sitemap.xml"), "bigcommerce": ("/xmlsitemap.php",), "shopware": ("/sitemap.xml",), "generic": ()}
+from stockroom.sources.payloads import sitemap_urls
+
+# Places of product sitemaps by platform, then of general ones, in the order in which they are tried.
+PRODUCT_SITEMAPS = {
+    "shopify": ("/sitemap_products_1.xml",),
+    "woocommerce": ("/product-sitemap.xml", "/product-sitemap1.xml"),
+    "magento": ("/pub/media/sitemap/sitemap.xml", "/media/sitemap.xml"),
+    "bigcommerce": ("/xmlsitemap.php",),
+    "shopware": ("/sitemap.xml",),
+    "generic": (),
+}
+SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml")
+# Paths that no product page has.
 PATHS = (
-    "/ /about /about-us /contact /contact-us /blog /cart /checkout /account /login /register /search /faq /privacy /privacy-policy /terms /terms-of-service /terms-and-conditions /shipping /shipping-policy "
-    "/returns /return-policy /refund-policy /sitemap /brands /categories /pages /wishlist /compare /basket /help /support /careers /press /newsletter /my-account /order-tracking /rewards"
-).split()
+    "/",
+    "/about",
+    "/about-us",
+    "/contact",
+    "/contact-us",
+    "/blog",
+    "/cart",
+    "/checkout",
+    "/account",
+    "/login",
+    "/register",
+    "/search",
+    "/faq",
+    "/privacy",
+    "/privacy-policy",
+    "/terms",
+    "/terms-of-service",
+    "/terms-and-conditions",
+    "/shipping",
+    "/shipping-policy",
+    "/returns",
+    "/return-policy",
+    "/refund-policy",
+    "/sitemap",
+    "/brands",
+    "/categories",
+    "/pages",
+    "/wishlist",
+    "/compare",
+    "/basket",
+    "/help",
+    "/support",
+    "/careers",
+    "/press",
+    "/newsletter",
+    "/my-account",
+    "/order-tracking",
+    "/rewards",
+)
+# Segments of paths that no product page has.
 SEGMENTS = (
-    "checkout basket cart login register account blog faq help support careers press my-account order-tracking wp-admin wp-includes feed author tag category wp-login.php newsletter unsubscribe journal news stories "
-    "articles recipe recipes tea_collections product_collection our-story sustainability charity events product-category product-tag"
-).split()
-ENDINGS = ".xml .json .txt .pdf .png .jpg .jpeg .gif .svg .css .js .ico .woff .woff2 .ttf .eot .map .gz".split()
+    "checkout",
+    "basket",
+    "cart",
+    "login",
+    "register",
+    "account",
+    "blog",
+    "faq",
+    "help",
+    "support",
+    "careers",
+    "press",
+    "my-account",
+    "order-tracking",
+    "wp-admin",
+    "wp-includes",
+    "feed",
+    "author",
+    "tag",
+    "category",
+    "wp-login.php",
+    "newsletter",
+    "unsubscribe",
+    "journal",
+    "news",
+    "stories",
+    "articles",
+    "recipe",
+    "recipes",
+    "tea_collections",
+    "product_collection",
+    "our-story",
+    "sustainability",
+    "charity",
+    "events",
+    "product-category",
+    "product-tag",
+)
+# Endings that no product page has.
+ENDINGS = (
+    ".xml",
+    ".json",
+    ".txt",
+    ".pdf",
+    ".png",
+    ".jpg",
+    ".jpeg",
+    ".gif",
+    ".svg",
+    ".css",
+    ".js",
+    ".ico",
+    ".woff",
+    ".woff2",
+    ".ttf",
+    ".eot",
+    ".map",
+    ".gz",
+)
 #: Platforms in the order in which ties go, and how many signals each can give.
 SIGNALS = {"shopify": 4, "woocommerce": 4, "magento": 3, "bigcommerce": 3, "shopware": 4, "generic": 1}
+# What pages of each platform have in their markup, and the name of the signal.
 HTML_SIGNALS = (
     ("shopify", "meta:generator=shopify", r"""<meta[^>]+name=["']generator["'][^>]+content=["']shopify"""),
     ("woocommerce", "meta:generator=wordpress", r"""<meta[^>]+name=["']generator["'][^>]+content=["']wordpress"""),
@@ -50,6 +153,26 @@ def discovered(urls: DataFrame, most: int | None = None) -> DataFrame:
     return rows if most is None else rows.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("idx", "url"))).where(F.col("_n") <= most).drop("_n")
 
 
+def strategies(sites: DataFrame, sitemaps: DataFrame, links: DataFrame | None = None, starts: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """``site``, ``url``, ``strategy``: the product addresses of each site by the first strategy that gives any: its platform's product sitemaps, general sitemaps, addresses within reach of the start pages.
+
+    ``sites``: site, platform; ``sitemaps``: site, path, body (captured); ``links``, ``starts``: see ``reachable``. Of sitemaps of one rank the earliest place with addresses counts.
+    WooCommerce addresses are narrowed to those with /product/ where these are 30 % or more. ``most`` keeps the first of each site by address.
+    """
+    places = [(p, path, i) for p, paths in PRODUCT_SITEMAPS.items() for i, path in enumerate(paths)] + [(p, path, 10 + i) for p in PRODUCT_SITEMAPS for i, path in enumerate(SITEMAPS)]
+    table = F.broadcast(sites.sparkSession.createDataFrame(places, "platform string, path string, place int"))  # fixed values
+    captured = sitemaps.join(sites.select("site", "platform"), "site").join(table, ["platform", "path"]).groupBy("site", "path", "platform").agg(F.min("place").alias("place"), F.max("body").alias("body"))
+    found = sitemap_urls(captured).where(~is_non_product("url")).select("site", "url", "place", "platform")
+    shops = product_urls_of_woocommerce(found.where("platform = 'woocommerce'"))
+    found = found.where("platform <> 'woocommerce'").unionByName(shops).select("site", "url", "place")
+    if links is not None and starts is not None:
+        found = found.unionByName(reachable(links, starts).where(~is_non_product("url")).select("site", "url", F.lit(20).alias("place")))
+    first = found.groupBy("site").agg(F.min("place").alias("place"))
+    named = F.when(F.col("place") < 10, "product_sitemap").when(F.col("place") < 20, "sitemap").otherwise("crawl")
+    rows = found.join(first, ["site", "place"]).groupBy("site", "url").agg(F.min(named).alias("strategy"))
+    return rows if most is None else rows.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where(F.col("_n") <= most).drop("_n")
+
+
 def reachable(links: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """``site``, ``url``, ``depth``: addresses within ``depth`` links (site, source, target) of the start pages (site, url), by breadth-first joins."""
     seen = start.select("site", "url").distinct().withColumn("depth", F.lit(0))

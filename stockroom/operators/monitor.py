@@ -21,16 +21,19 @@ def latest(rows: DataFrame, n: int = 2) -> DataFrame:
 
 
 def changes(rows: DataFrame) -> DataFrame:
-    """Domain, title_key, change (new, removed, price_change), old_price, new_price between the two newest snapshots; a domain with one snapshot has none."""
-    two = by_title(latest(rows).select("domain", "taken_at", "idx", "title", "price"))
-    ages = latest(rows).select("domain", "taken_at", "age").distinct()
-    sided = two.join(ages, ["domain", "taken_at"])
-    complete = ages.groupBy("domain").agg(F.max("age").alias("k")).where("k = 2").select("domain")
-    new = sided.where("age = 1").select("domain", "title_key", F.col("price").alias("new_price"), F.lit(True).alias("is_new"))
-    old = sided.where("age = 2").select("domain", "title_key", F.col("price").alias("old_price"), F.lit(True).alias("is_old"))
-    both = new.join(old, ["domain", "title_key"], "full_outer").join(complete, "domain", "left_semi")
-    change = F.when(F.col("is_old").isNull(), "new").when(F.col("is_new").isNull(), "removed").when(F.col("old_price") != F.col("new_price"), "price_change")
-    return both.select("domain", "title_key", change.alias("change"), "old_price", "new_price").where("change is not null")
+    """Domain, title_key, change (new, removed, price_change), old_price, new_price between the two newest snapshots; a domain with one snapshot has none.
+
+    Both snapshots are aggregated at once: per title the last row's price of either.
+    """
+    aged = latest(rows.select("domain", "taken_at", "idx", "title", "price"))
+    price = X.money("price").cast("decimal(20,6)")
+    of = lambda age: F.max_by(price, F.when(F.col("age") == age, F.col("idx")))
+    has = lambda age: F.max(F.col("age") == age)
+    both = aged.groupBy("domain", X.key("title").alias("title_key")).agg(of(1).alias("new_price"), of(2).alias("old_price"), has(1).alias("is_new"), has(2).alias("is_old"))
+    # a domain has two snapshots if any of its titles is of the older one
+    complete = aged.where("age = 2").select("domain").distinct()
+    change = F.when(~F.col("is_old"), "new").when(~F.col("is_new"), "removed").when(F.col("old_price") != F.col("new_price"), "price_change")
+    return both.join(complete, "domain", "left_semi").select("domain", "title_key", change.alias("change"), "old_price", "new_price").where("change is not null")
 
 
 def price_history(rows: DataFrame, title: str | None = None) -> DataFrame:

@@ -38,12 +38,18 @@ def _strings(column: Column) -> Column:
     return F.filter(column, lambda s: s.isNotNull() & (s != ""))
 
 
+def _plain(v: Column, key: str) -> Column:
+    """The text under ``key`` of an object, or the element itself if it is plain."""
+    whole = F.try_variant_get(v, "$", "string")
+    return F.coalesce(F.try_variant_get(v, key, "string"), F.when(~whole.startswith("{") & ~whole.startswith("["), whole))
+
+
 def _names(path: str, key: str = "$.name") -> Column:
     """The names of a list of objects or of plain texts."""
-    return _strings(F.transform(_list(path), lambda v: F.coalesce(F.try_variant_get(v, key, "string"), F.try_variant_get(v, "$", "string"))))
+    return _strings(F.transform(_list(path), lambda v: _plain(v, key)))
 
 
-def _product(**columns: Column) -> Column:
+def product(**columns: Column) -> Column:
     """The product struct; what isn't given has its default."""
     defaults = {"in_stock": F.lit(True), "description": F.lit(""), "image_url": F.lit(""), "external_id": F.lit(""), "price": F.lit(0)}
     empty = {"variants", "tags", "additional_images", "category_path"}
@@ -63,7 +69,7 @@ def shopify() -> Column:
     first = F.get(_list("$.variants"), 0)
     of = lambda path, kind="string": F.try_variant_get(first, path, kind)
     images = _list("$.images")
-    sources = F.transform(images, lambda v: F.coalesce(F.try_variant_get(v, "$.src", "string"), F.try_variant_get(v, "$", "string")))
+    sources = F.transform(images, lambda v: _plain(v, "$.src"))
     variant = lambda v: F.struct(
         F.coalesce(F.try_variant_get(v, "$.id", "string"), F.lit("")).alias("variant_id"), F.coalesce(F.try_variant_get(v, "$.title", "string"), F.lit("")).alias("title"),
         F.coalesce(F.try_variant_get(v, "$.price", "string"), F.lit("0")).try_cast("decimal(38,10)").alias("price"), F.try_variant_get(v, "$.sku", "string").alias("sku"),
@@ -73,7 +79,7 @@ def shopify() -> Column:
     tags = F.when(get("$.tags", "array<string>").isNotNull(), _strings(get("$.tags", "array<string>"))).otherwise(_strings(F.transform(F.split(F.coalesce(get("$.tags"), F.lit("")), ","), lambda t: X.stripped(t))))
     kind = get("$.product_type")
     stock = (F.size(_list("$.variants")) == 0) | F.exists(_list("$.variants"), lambda v: F.coalesce(F.try_variant_get(v, "$.inventory_quantity", "long") > 0, F.lit(True)))
-    return _product(
+    return product(
         external_id=get("$.id"), title=X.stripped(get("$.title")), description=X.without_markup(get("$.body_html")), price=X.money(of("$.price")), compare_at_price=of("$.compare_at_price").try_cast("decimal(38,10)"),
         currency=F.coalesce(get("$._shop_currency"), F.lit("USD")), image_url=F.get(sources, 0), additional_images=_strings(F.slice(sources, 2, 100_000)),
         product_url=F.when(F.coalesce(get("$.handle"), F.lit("")) != "", F.concat(_shop(), F.lit("/products/"), get("$.handle"))).otherwise(F.col("shop")), sku=of("$.sku"), gtin=X.gtin(of("$.barcode")),
@@ -88,9 +94,9 @@ def woocommerce() -> Column:
     scaled = lambda path: (get(path).try_cast("decimal(24,6)") / F.pow(F.lit(10), unit).cast("decimal(12,0)")).cast("decimal(38,10)")
     price = F.coalesce(F.when(admin, get("$.price").try_cast("decimal(38,10)")).otherwise(scaled("$.prices.price")), F.lit(0))
     regular = F.when(admin, get("$.compare_at_price").try_cast("decimal(38,10)")).otherwise(scaled("$.prices.regular_price"))
-    sources = F.transform(_list("$.images"), lambda v: F.coalesce(F.try_variant_get(v, "$.src", "string"), F.try_variant_get(v, "$", "string")))
+    sources = F.transform(_list("$.images"), lambda v: _plain(v, "$.src"))
     has = F.size(sources) > 0
-    return _product(
+    return product(
         external_id=get("$.id"), title=X.stripped(_some(get("$.title"), get("$.name"))), description=X.without_markup(get("$.description")), price=price, compare_at_price=F.when(regular != price, regular),
         currency=F.coalesce(F.when(admin, get("$.currency")).otherwise(get("$.prices.currency_code")), F.lit("USD")), image_url=F.when(has, F.get(sources, 0)).otherwise(get("$.image_url")),
         additional_images=F.when(has, _strings(F.slice(sources, 2, 100_000))).otherwise(get("$.additional_images", "array<string>")), product_url=F.coalesce(_some(get("$.permalink"), get("$.product_url")), F.lit("")), sku=get("$.sku"),
@@ -108,7 +114,7 @@ def magento() -> Column:
     media = lambda p: F.concat(_shop(), F.lit("/media/catalog/product"), p)
     files = F.transform(F.filter(_list("$.media_gallery_entries"), lambda v: ~F.coalesce(F.try_variant_get(v, "$.disabled", "boolean"), F.lit(False))), lambda v: F.try_variant_get(v, "$.file", "string"))
     extra = F.transform(F.filter(_strings(files), lambda f: f != path), media)
-    return _product(
+    return product(
         external_id=F.coalesce(get("$.sku"), get("$.id")), title=X.stripped(get("$.name")), description=X.without_markup(last("description")), price=X.money(get("$.price")), currency=F.coalesce(get("$.currency"), F.lit("USD")),
         image_url=F.when(path != "", media(path)), additional_images=extra, product_url=F.when(F.coalesce(last("url_key"), F.lit("")) != "", F.concat(_shop(), F.lit("/"), last("url_key"), F.lit(".html"))).otherwise(F.col("shop")),
         sku=get("$.sku"), gtin=_some(last("ean", "gtin", "barcode")), mpn=_some(last("mpn")), vendor=_some(last("manufacturer")),
@@ -122,7 +128,7 @@ def shopware() -> Column:
         F.coalesce(_some(F.try_variant_get(v, "$.variant_id", "string"), F.try_variant_get(v, "$.id", "string")), F.lit("")).alias("variant_id"), F.coalesce(_some(F.try_variant_get(v, "$.title", "string"), F.try_variant_get(v, "$.name", "string")), F.lit("")).alias("title"),
         F.coalesce(F.try_variant_get(v, "$.price", "string"), F.lit("0")).try_cast("decimal(38,10)").alias("price"), F.try_variant_get(v, "$.sku", "string").alias("sku"), F.coalesce(F.try_variant_get(v, "$.in_stock", "boolean"), F.lit(True)).alias("in_stock"),
     )
-    return _product(
+    return product(
         external_id=_some(get("$.id"), get("$.sku")), title=X.stripped(_some(get("$.title"), get("$.name"))), description=X.without_markup(get("$.description")), price=price, compare_at_price=F.when(before != price, before),
         currency=F.coalesce(_some(get("$.currency")), F.lit("EUR")), image_url=get("$.image_url"), product_url=F.coalesce(_some(get("$.product_url")), F.col("shop")), sku=get("$.sku"), gtin=X.gtin(_some(get("$.gtin"), get("$.barcode"), get("$.ean"))),
         vendor=_some(get("$.vendor")), in_stock=get("$.in_stock", "boolean"), condition=_some(get("$.condition")), variants=F.filter(F.transform(_list("$.variants"), variant), lambda v: v["price"].isNotNull()),
@@ -136,7 +142,7 @@ def google_feed() -> Column:
     availability = F.replace(F.lower(F.coalesce(get("$.availability"), F.lit(""))), F.lit(" "), F.lit("_"))
     condition = F.lower(F.coalesce(get("$.condition"), F.lit("")))
     path = _strings(F.transform(F.split(F.coalesce(get("$.product_type"), F.lit("")), ">"), lambda c: X.stripped(c)))
-    return _product(
+    return product(
         external_id=get("$.id"), title=X.stripped(get("$.title")), description=X.without_markup(get("$.description")), price=F.when(reduced, sale).otherwise(price), compare_at_price=F.when(reduced, price),
         currency=F.coalesce(_some(get("$.currency")), F.lit("EUR")), image_url=get("$.image_link"), product_url=F.coalesce(_some(get("$.link")), F.col("shop")), sku=F.coalesce(get("$.id"), F.lit("")), gtin=X.gtin(get("$.gtin")), mpn=_some(get("$.mpn")),
         vendor=_some(get("$.brand")), product_type=F.get(path, 0), in_stock=(availability == "") | availability.contains("in_stock"),
@@ -162,7 +168,7 @@ def schema_org() -> Column:
     gtin = X.gtin(_some(*[get(f"$.{g}") for g in GTINS], *[of(f"$.{g}") for g in GTINS[:-1]], *[has(g) for g in PROPERTY_GTINS]))
     condition, available = F.coalesce(of("$.itemCondition"), F.lit("")), F.coalesce(of("$.availability"), F.lit(""))
     category = F.coalesce(get("$.category", "array<string>"), F.transform(F.split(F.coalesce(get("$.category"), F.lit("")), "[>/]"), lambda c: X.stripped(c)))
-    return _product(
+    return product(
         external_id=_some(get("$.sku"), get("$.productID"), gtin), title=X.stripped(get("$.name")), description=X.without_markup(get("$.description")), price=X.money(of("$.price")), currency=F.coalesce(of("$.priceCurrency"), F.lit("USD")),
         image_url=_some(F.get(pictures, 0), get("$.thumbnailUrl"), get('$["og:image"]')), additional_images=_strings(F.slice(pictures, 2, 100_000)), product_url=F.coalesce(get("$.url"), F.col("shop")), sku=_some(get("$.sku"), has("mpn")), gtin=gtin, mpn=_some(get("$.mpn"), of("$.mpn")),
         vendor=F.coalesce(get("$.brand.name"), F.when(F.schema_of_variant(get("$.brand", "variant")) == "STRING", get("$.brand"))), in_stock=(available == "") | available.contains("InStock"),
@@ -173,7 +179,7 @@ def schema_org() -> Column:
 
 def opengraph() -> Column:
     og = lambda k: get(f'$["{k}"]')
-    return _product(
+    return product(
         external_id=F.coalesce(og("og:product_id"), og("product:retailer_item_id")), title=X.stripped(og("og:title")), description=X.without_markup(og("og:description")), price=X.money(_some(og("og:price:amount"), og("product:price:amount"))),
         currency=F.coalesce(_some(og("og:price:currency"), og("product:price:currency")), F.lit("USD")), image_url=og("og:image"), product_url=F.coalesce(og("og:url"), F.col("shop")), condition=_some(og("product:condition")),
         category_path=F.when(F.coalesce(og("product:category"), F.lit("")) != "", F.array(og("product:category"))),
@@ -183,7 +189,7 @@ def opengraph() -> Column:
 def direct() -> Column:
     price = X.stripped(F.regexp_replace(F.coalesce(get("$.price"), F.lit("0")), "[$€£]", ""))
     price = F.when(price.contains(",") & price.contains("."), F.replace(price, F.lit(","), F.lit(""))).otherwise(F.replace(price, F.lit(","), F.lit(".")))
-    return _product(
+    return product(
         external_id=F.coalesce(get("$.sku"), get("$.id")), title=X.stripped(_some(get("$.title"), get("$.name"), get("$.product_name"), get("$.heading"))), description=X.without_markup(get("$.description")), price=X.money(price),
         currency=F.coalesce(_some(get("$.currency"), get("$.price_currency")), F.lit("USD")), image_url=_some(get("$.image"), get("$.image_url"), get("$.src")), product_url=F.coalesce(_some(get("$.product_url"), get("$.url"), get("$.canonical")), F.col("shop")),
         sku=get("$.sku"), gtin=X.gtin(_some(get("$.gtin"), get("$.ean"), get("$.barcode"))), mpn=_some(get("$.mpn")),

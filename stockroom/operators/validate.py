@@ -13,6 +13,8 @@ RULES = {
     "amazon": {"required": ("title", "price", "image_url", "gtin", "brand", "condition"), "recommended": (), "longest": {"title": 200, "description": 2000}},
     "ebay": {"required": ("title", "price", "image_url", "condition"), "recommended": ("gtin",), "longest": {"title": 80}},
 }
+#: Fields that any rule looks at.
+FIELDS = tuple(sorted({f for r in RULES.values() for f in (*r["required"], *r["recommended"], *r["longest"])} - {"sku_or_external_id"} | {"sku", "external_id"}))
 IMAGE_TYPES = ("image/jpeg", "image/png", "image/webp", "image/gif", "image/svg+xml", "image/avif", "image/bmp", "image/tiff")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("records", "catalog", "market", "pages")
+MODULES = ("records", "catalog", "market", "pages", "captured")
 
 
 def _gathered(name: str) -> dict:

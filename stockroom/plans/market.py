@@ -8,6 +8,7 @@ from stockroom.functions import text as X
 from stockroom.operators import analyze, match, monitor
 from stockroom.plans.base import catalog, offers, registry, with_views
 from stockroom.plans.catalog import ratcliff
+from stockroom.session import table
 
 QUERIES, ORACLE, query = registry()
 STORES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -59,24 +60,39 @@ def brand_coverage_long(spark, sf):
 
 
 
-@query(
-    "j10_assortment_gaps",
-    with_views("select distinct kind, value from (select 'brand' as kind, vendor as value, l_partkey as k, store from offers union all select 'category', product_type, l_partkey, store from offers) x where store <> 'ASIA' and not exists (select 1 from (select 'brand' as kind, vendor as value from offers where store = 'ASIA' and l_partkey % 97 = 1 union all select 'category', product_type from offers where store = 'ASIA' and l_partkey % 97 = 1) m where m.kind = x.kind and m.value = x.value)"),
-)
+#: White space of any kind around a text, for SQL.
+_SPACE = r"'^[\s\pZ\x{85}\x1c-\x1f]+|[\s\pZ\x{85}\x1c-\x1f]+$'"
+_OWN = "(select min(domain) from products)"
+
+
+@query("j10_assortment_gaps", f"with x as (select distinct domain = {_OWN} as own, kind, regexp_replace(value, {_SPACE}, '', 'g') as value from (select domain, 'brand' as kind, vendor as value from products union all select domain, 'category', product_type from products) where value is not null) select distinct kind, value from x where not own and value <> '' and (kind, value) not in (select kind, value from x where own)")
 def assortment_gaps(spark, sf):
-    o = offers(spark, sf)
-    return analyze.assortment_gaps(o.where("store = 'ASIA' and l_partkey % 97 = 1"), o.where("store <> 'ASIA'"))
+    """Brands and categories of all other shops that one shop lacks, over all listings."""
+    p = table(spark, sf, "products")
+    own = F.col("domain") == p.agg(F.min("domain")).first()[0]
+    return analyze.assortment_gaps(p.where(own), p.where(~own))
 
 
 def _competitors(spark, sf):
     """The offers named by the part alone; a stable number per offer."""
     o = offers(spark, sf).withColumn("name", F.regexp_replace("title", r" \d+$", ""))
-    return o.select((F.col("idx") * 1000000 + F.col("l_suppkey")).alias("idx"), "store", F.col("name").alias("title"), "price")
+    return o.select(((F.col("idx") * 1000000 + F.col("l_suppkey")) * 100000 + F.col("l_partkey")).alias("idx"), "store", F.col("name").alias("title"), "price")
+
 
+_NAMED = ", n as (select *, regexp_replace(title, ' [0-9]+$', '') as name, (idx * 1000000 + l_suppkey) * 100000 + l_partkey as cid from offers), near as (select ta, tb, sim from sims where sim >= 0.8 union all select t, t, 1.0::double from (select distinct lower(p_name) as t from part))"
 
-@query("j5_best_competitors")
+
+@query(
+    "j5_best_competitors",
+    ratcliff(
+        "select x.t ta, y.t tb from (select distinct lower(p_name) t from part) x, (select distinct lower(p_name) t from part) y where x.t <> y.t",
+        _NAMED
+        + ", b as (select ta, tb, sim, store, min(cid) as cid from near join n on lower(trim(name)) = tb group by all), best as (select ta, store, arg_max(struct_pack(cid := cid, sim := sim), struct_pack(sim := sim, c := -cid)) as x from b group by ta, store) "
+        "select distinct c.idx, best.store, x.cid as competitor, cast(n.price as double) as competitor_price, round(x.sim, 6) as sim from catalog c join best on lower(trim(c.title)) = ta join n on n.cid = x.cid and n.store = best.store where try_cast(n.price as double) > 0",
+    ),
+)
 def best_competitors(spark, sf):
-    return match.best_competitors(catalog(spark, sf), _competitors(spark, sf), 0.8)
+    return match.best_competitors(catalog(spark, sf), _competitors(spark, sf), 0.8).withColumn("sim", F.round("sim", 6))
 
 
 @query(

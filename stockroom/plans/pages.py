@@ -25,16 +25,47 @@ def _raw(df: DataFrame, **fields) -> DataFrame:
     return df.select("idx", F.to_variant_object(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("raw"), F.lit("https://shop.example").alias("shop"))
 
 
-@query("n1_shopify", "select page_id, product_pos, external_id from (select page_id, generate_subscripts(l, 1) - 1 as product_pos, unnest(l) as p from (select page_id, from_json(json_extract(try_cast(body as json), '$.products'), '[\"JSON\"]') as l from shopify_products where http_status = 200 and json_type(try_cast(body as json), '$.products') = 'ARRAY')) x, lateral (select p->>'$.id' as external_id) where json_type(p) = 'OBJECT' and trim(p->>'$.title') <> ''")
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, '^[\\s\\pZ\\x{{85}}\\x1c-\\x1f]+|[\\s\\pZ\\x{{85}}\\x1c-\\x1f]+$', '', 'g')"
+
+
+def _array(e: str) -> str:
+    return f"(case when json_type({e}) = 'ARRAY' then from_json({e}, '[\"JSON\"]') else [] end)"
+
+
+def _plain(e: str, key: str) -> str:
+    """The text under ``key`` of an object, or the element itself if it is plain."""
+    return f"(case when json_type({e}) = 'OBJECT' then ({e}->>'$.{key}') else ({e}->>'$') end)"
+
+
+_API = "select page_id, pos - 1 as pos, l[pos] as e from (select page_id, l, unnest(generate_series(1, len(l))) as pos from (select page_id, from_json({list}, '[\"JSON\"]') as l from {table} where http_status = 200 and json_type({list}) = 'ARRAY')) where json_type(l[pos]) = 'OBJECT'"
+_DECIMAL = "try_cast({} as decimal(38,10))"
+
+
+@query(
+    "n1_shopify",
+    f"""with r as ({_API.format(list="json_extract(try_cast(body as json), '$.products')", table="shopify_products")}), v as (select *, {_array("(e->'$.variants')")} as vs, {_array("(e->'$.images')")} as ims from r)
+select page_id, pos, (e->>'$.id') as external_id, {_strip("(e->>'$.title')")} as title, coalesce({_DECIMAL.format("(vs[1]->>'$.price')")}, 0)::double as price, coalesce(e->>'$.vendor', '') as vendor, coalesce({_plain("ims[1]", "src")}, '') as image_url,
+ len(vs) = 0 or list_bool_or(list_transform(vs, lambda x: coalesce(try_cast(x->>'$.inventory_quantity' as bigint) > 0, true))) as in_stock, len(list_filter(vs, lambda x: {_DECIMAL.format("coalesce(x->>'$.price', '0')")} is not null)) as variants,
+ case when json_type((e->'$.tags')) = 'ARRAY' then len(list_filter(from_json((e->'$.tags'), '["VARCHAR"]'), lambda x: x <> '')) else len(list_filter(string_split(coalesce(e->>'$.tags', ''), ','), lambda x: {_strip("x")} <> '')) end as tags
+from v where {_strip("coalesce(e->>'$.title', '')")} <> ''""",
+)
 def shopify(spark, sf):
     pages = table(spark, sf, "shopify_products").select("page_id", "http_status", "body", F.concat(F.lit("https://"), "domain").alias("shop"))
-    return N.normalize(P.api_pages(pages, "shopify"), "shopify").select("page_id", F.col("pos").cast("long").alias("product_pos"), "external_id")
+    return N.normalize(P.api_pages(pages, "shopify"), "shopify").select("page_id", F.col("pos").cast("long").alias("pos"), "external_id", "title", "price", F.coalesce("vendor", F.lit("")).alias("vendor"), "image_url", "in_stock", F.size("variants").cast("long").alias("variants"), F.size("tags").cast("long").alias("tags"))
 
 
-@query("n5_woocommerce")
+@query(
+    "n5_woocommerce",
+    f"""with r as ({_API.format(list="try_cast(body as json)", table="woocommerce_products")}), a as (select *, coalesce(e->>'$._source' = 'woocommerce_admin_api', false) or (((e->'$.prices') is null or json_type((e->'$.prices')) = 'NULL') and coalesce(json_type((e->'$.price')) = 'VARCHAR', false)) as adm, coalesce(try_cast(e->>'$.prices.currency_minor_unit' as int), 2) as unit, {_array("(e->'$.images')")} as ims from r),
+p as (select *, coalesce(case when adm then {_DECIMAL.format("(e->>'$.price')")} else (try_cast(e->>'$.prices.price' as decimal(24,6)) / power(10, unit))::decimal(38,10) end, 0) as price, case when adm then {_DECIMAL.format("(e->>'$.compare_at_price')")} else (try_cast(e->>'$.prices.regular_price' as decimal(24,6)) / power(10, unit))::decimal(38,10) end as regular,
+ coalesce(case when len(ims) > 0 then {_plain("ims[1]", "src")} else (e->>'$.image_url') end, '') as image_url, {_strip("coalesce(nullif(e->>'$.title', ''), (e->>'$.name'), '')")} as title from a)
+select page_id, pos, coalesce(e->>'$.id', '') as external_id, title, price::double as price, case when regular <> price then regular::double end as compare_at_price, coalesce(case when adm then (e->>'$.currency') else (e->>'$.prices.currency_code') end, 'USD') as currency, image_url,
+ len(list_filter({_array("(e->'$.categories')")}, lambda x: coalesce({_plain("x", "name")}, '') <> '')) as categories from p where title <> '' and (price > 0 or image_url <> '' or coalesce(e->>'$.sku', '') <> '' or coalesce(e->>'$.id', '') <> '')""",
+)
 def woocommerce(spark, sf):
     pages = table(spark, sf, "woocommerce_products").select("page_id", "http_status", "body", F.concat(F.lit("https://"), "domain").alias("shop"))
-    return N.normalize(P.api_pages(pages, "woocommerce"), "woocommerce").select("page_id", "pos", "external_id", "title", "price", "compare_at_price", "currency", "image_url", F.size("category_path").alias("categories"))
+    return N.normalize(P.api_pages(pages, "woocommerce"), "woocommerce").select("page_id", F.col("pos").cast("long").alias("pos"), "external_id", "title", "price", "compare_at_price", "currency", "image_url", F.size("category_path").cast("long").alias("categories"))
 
 
 @query("n6_magento", with_views(f"select idx, sku as external_id, {_T} as title, {_P} as price, concat('https://shop.example/media/catalog/product/', idx, '.jpg') as image_url, concat('https://shop.example/k', idx, '.html') as product_url, gtin from catalog"))
@@ -209,10 +240,11 @@ def first_good_tier(spark, sf):
     return discover.first_good_tier(c.select("source", tiers).select("source", "x.*")).select("source", "tier")
 
 
-@query("d1_same_offers", with_views("select lower(trim(title)) as name, max(idx % 7) as filled from catalog where idx % 7 < 2 group by 1"))
+@query("d1_same_offers", with_views("select name, arg_min(idx, rnk * 100000000 + idx) as idx from (select lower(trim(title)) as name, idx, 3 - (case when idx % 7 = 1 then 1 else 0 end) - (case when idx % 5 = 2 then 1 else 0 end) as rnk from catalog) group by name"))
 def same_offers(spark, sf):
-    c = catalog(spark, sf).where("idx % 7 < 2").select(F.lit(1).alias("page_id"), "idx", F.col("title").alias("name"), F.lit("1").alias("price"), F.lit(None).cast("string").alias("sku"), F.when(F.col("idx") % 7 == 1, "x").alias("image"))
-    return dedupe.same_offers(c, ["name", "price", "image"]).select(X.key("name").alias("name"), F.when(F.col("image") == "x", 1).otherwise(0).cast("long").alias("filled"))
+    """Of the rows of a name the one with most fields filled, the first of ties: the whole catalogue."""
+    c = catalog(spark, sf).select(F.lit(1).alias("page_id"), "idx", F.col("title").alias("name"), F.lit("1").alias("price"), F.lit(None).cast("string").alias("sku"), F.when(F.col("idx") % 7 == 1, "x").alias("image"), F.when(F.col("idx") % 5 == 2, "y").otherwise(" ").alias("url"))
+    return dedupe.same_offers(c, ["name", "price", "image", "url"]).select(X.key("name").alias("name"), "idx")
 
 
 @query("d4_merge_chunks", with_views("select idx - idx % 2 as page_id, count(*) as rows_in, min(sku) as sku from catalog group by 1"))

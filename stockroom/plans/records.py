@@ -46,7 +46,7 @@ def p2_variants(spark: SparkSession, sf: str) -> DataFrame:
     t = p2_tables(spark, sf)
     variants, products = t["variants"], t["products"]
     have = lambda df, c: F.col(f"{df}.{c}") if c in {"v": variants, "p": products}[df].columns else F.lit(None).cast("string")
-    return variants.alias("v").join(products.alias("p"), F.col("v.parent_id") == F.col("p.node_id")).select(F.col("v.node_id"), F.col("v.parent_id"), have("p", "title").alias("product_title"), have("v", "title").alias("variant_title"), have("v", "price").alias("price"))
+    return variants.alias("v").join(products.alias("p"), F.col("v.parent_id") == F.col("p.node_id")).select(F.col("v.node_id"), F.col("v.parent_id"), have("p", "title").alias("product_title"), have("v", "title").alias("variant_title"), have("v", "price").try_cast("double").alias("price"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return history.ledger(table(spark, sf, "snapshots"))
+    return history.ledger(table(spark, sf, "snapshots")).withColumn("price", F.col("price").cast("double"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +71,45 @@ x as (select domain, t, id, pos, lower(regexp_replace(p->>'$.title', '^[\s\pZ\x{
   concat_ws('|', coalesce(try_cast(trim(p->>'$.price') as decimal(20,6)), 0), coalesce(p->>'$.currency', 'USD'), coalesce(p->>'$.vendor', ''), coalesce(p->>'$.in_stock', 'true')) as version from e),
 v as (select domain, k, sid, title_key, arg_max(version, id * 1000000 + pos) as version from x join s using (domain, t) where title_key <> '' group by all)"""
 
+
+
+def _elements(e: str) -> str:
+    """The elements in place of a list: see ``shred.elements``."""
+    text = f"({e}->>'$')"
+    return f"(case when json_type({e}) = 'ARRAY' then from_json({e}, '[\"JSON\"]') when json_type({e}) = 'VARCHAR' and ltrim({text}) like '[%' and json_type(try_cast({text} as json)) = 'ARRAY' then from_json(try_cast({text} as json), '[\"JSON\"]') when {e} is null or json_type({e}) = 'NULL' or (json_type({e}) = 'VARCHAR' and trim({text}) = '') then [] else [{e}] end)"
+
+
+def _level(name: str, parent: str, child: str) -> str:
+    """The elements of list ``child`` of the objects of ``parent``."""
+    return f"{name} as (select page_id, path || '.{child}[' || (i - 1) || ']' as path, path as above, e as parent, l[i] as e from (select page_id, path, e, l, unnest(generate_series(1, len(l))) as i from (select page_id, path, e, {_elements(f"(e->'$.{child}')")} as l from {parent} where json_type(e) = 'OBJECT')) where l[i] is not null and json_type(l[i]) <> 'NULL')"
+
+
+_SHOPIFY = f"""b as (select page_id, try_cast(body as json) as j from shopify_products), sl as (select page_id, {_elements("(j->'$.products')")} as l from b where json_type(j) = 'OBJECT'),
+sp as (select page_id, 'products[' || (i - 1) || ']' as path, '' as above, null::json as parent, l[i] as e from (select page_id, l, unnest(generate_series(1, len(l))) as i from sl) where l[i] is not null and json_type(l[i]) <> 'NULL'),
+{_level("sv", "sp", "variants")}, {_level("so", "sv", "option_values")}, {_level("si", "sp", "images")}"""
+_WOO = f"""wb as (select page_id, try_cast(body as json) as j from woocommerce_products), wl as (select page_id, from_json(j, '["JSON"]') as l from wb where json_type(j) = 'ARRAY'),
+wp as (select page_id, '[' || (i - 1) || ']' as path, '' as above, null::json as parent, l[i] as e from (select page_id, l, unnest(generate_series(1, len(l))) as i from wl) where l[i] is not null and json_type(l[i]) <> 'NULL'),
+{_level("wi", "wp", "images")}, {_level("wt", "wp", "tags")}, {_level("wc", "wp", "categories")}, {_level("wv", "wp", "variations")}, {_level("wa", "wv", "attributes")}"""
+
+
+def _counted(source: str, name: str, key: str) -> str:
+    return f"select '{source}' as src, page_id, path, coalesce(case when json_type(e) = 'OBJECT' then e->>'$.{key}' else e->>'$' end, '') as item_id from {name}"
+
+
 ORACLE = {
+    "p2_found": f"with {_SHOPIFY}, {_WOO} " + " union all ".join([_counted("shopify", n, k) for n, k in (("sp", "id"), ("sv", "id"), ("so", "name"), ("si", "src"))] + [_counted("woocommerce", n, k) for n, k in (("wp", "id"), ("wi", "src"), ("wt", "name"), ("wc", "name"), ("wv", "id"), ("wa", "name"))]),
+    "p2_variants": f"with {_SHOPIFY} select page_id || '/' || path as node_id, page_id || '/' || above as parent_id, parent->>'$.title' as product_title, case when json_type(e) = 'OBJECT' then e->>'$.title' end as variant_title, case when json_type(e) = 'OBJECT' then try_cast(e->>'$.price' as double) end as price from sv",
+    "p3_ledger": _STATES
+    + """, a as (select s.domain, r.sid as rec, s.sid, row_number() over (partition by s.domain, r.sid order by s.t) as k from s join s r on r.domain = s.domain and s.sid <= r.sid),
+c as (select a.domain, a.rec, a.k, v.title_key, v.version from v join a on a.domain = v.domain and a.sid = v.sid),
+r as (select *, case when lag(k) over w = k - 1 and lag(version) over w = version then 0 else 1 end as fresh from c window w as (partition by domain, rec, title_key order by k)),
+g as (select *, sum(fresh) over (partition by domain, rec, title_key order by k) as run from r),
+u as (select domain, rec, title_key, version, min(k) as x, max(k) as y from g group by domain, rec, title_key, version, run),
+f as (select u.domain, u.rec, u.title_key, u.version, p.sid as from_id, q.sid as to_id from u join a p on p.domain = u.domain and p.rec = u.rec and p.k = u.x left join a q on q.domain = u.domain and q.rec = u.rec and q.k = u.y + 1),
+z as (select domain, sid as rec, row_number() over (partition by domain order by sid) as n, lead(sid) over (partition by domain order by sid) as following from s),
+h as (select f.*, z.n, z.following, z.n - row_number() over (partition by f.domain, title_key, version, from_id, to_id order by z.n) as island from f join z using (domain, rec))
+select domain, title_key, string_split(version, '|')[1]::double as price, string_split(version, '|')[2] as currency, string_split(version, '|')[3] as vendor, string_split(version, '|')[4] = 'true' as in_stock, from_id, to_id, min(rec) as recorded_from, nullif(arg_max(coalesce(following, -1), n), -1) as recorded_to
+from h group by domain, title_key, version, from_id, to_id, island""",
     "p3_found": _STATES
     + """, r as (select *, case when lag(k) over w = k - 1 and lag(version) over w = version then 0 else 1 end as fresh from v window w as (partition by domain, title_key order by k)),
 g as (select *, sum(fresh) over (partition by domain, title_key order by k) as run from r),

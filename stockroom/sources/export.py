@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockroom.functions import text as X
@@ -33,9 +37,54 @@ def to_csv(products: DataFrame, path: str, single: bool = False, sep: str = ",")
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def to_json(products: DataFrame, path: str) -> None:
-    """One JSON object per line; money as text."""
-    products.withColumns({c: F.col(c).cast("string") for c, k in products.dtypes if k.startswith("decimal")}).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def plain_json(products: DataFrame) -> DataFrame:
+    """Money as text and instants as ISO 8601, as JSON wants them."""
+    texts = {c: F.col(c).cast("string") for c, k in products.dtypes if k.startswith("decimal")}
+    return products.withColumns(texts | {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c, k in products.dtypes if k == "timestamp"})
+
+
+def json_texts(products: DataFrame, indent: int = 2) -> DataFrame:
+    """``item``: each product as indented JSON, null fields and letters beyond ASCII kept."""
+    texts = plain_json(products).select(F.to_json(F.struct(*products.columns), {"ignoreNullFields": "false"}).alias("item"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad = " " * indent
+        for batch in batches:
+            laid = [pad + json.dumps(json.loads(t), ensure_ascii=False, indent=indent).replace("\n", "\n" + pad) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(laid, pa.string())], names=["item"])
+
+    return texts.mapInArrow(run, "item string")
+
+
+def to_json(products: DataFrame, path: str, array: bool = False, indent: int = 2) -> None:
+    """One JSON object per line, or with ``array`` one indented list per file; money as text."""
+    if array:
+        _framed(json_texts(products, indent), "[", "]", ",").write.mode("overwrite").text(path)
+    else:
+        plain_json(products).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def to_frame(products: DataFrame):
+    """The products as a pandas frame, for catalogues that fit into the driver."""
+    return products.toPandas()
+
+
+def _framed(items: DataFrame, head: str, tail: str, between: str = "") -> DataFrame:
+    """Lines of files each of which is whole: per partition the head, the items (``between`` behind all but the last) and the tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda xs: pa.RecordBatch.from_arrays([pa.array(xs, pa.string())], names=["item"])
+        yield lines([head])
+        held: str | None = None
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                whole = [t + between for t in ([held] if held is not None else []) + texts[:-1]]
+                held = texts[-1]
+                yield lines(whole)
+        yield lines([*([held] if held is not None else []), tail])
+
+    return items.mapInArrow(run, "item string")
 
 
 def to_parquet(products: DataFrame, path: str, *partition_by: str) -> None:
@@ -77,16 +126,14 @@ def idealo_rows(products: DataFrame) -> DataFrame:
     return products.select(*[_field(products, *names.get(c, (c,))).alias(c) for c in IDEALO])
 
 
-def to_feed(products: DataFrame, path: str, kind: str, title: str = "Products") -> None:
-    """A marketplace feed; an unknown kind raises ValueError. The Google feed is one file, as the format wants it."""
+def to_feed(products: DataFrame, path: str, kind: str, title: str = "Products", single: bool = False) -> None:
+    """A marketplace feed; an unknown kind raises ValueError. Each partition writes a whole file of its own; ``single`` puts small catalogues into one file."""
+    products = products.coalesce(1) if single else products
     if kind == "idealo":
         idealo_rows(products).write.mode("overwrite").option("header", True).option("sep", "\t").option("emptyValue", "").csv(path)
     elif kind == "google_shopping":
-        spark = products.sparkSession
-        head = spark.createDataFrame([(0, f'<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0" xmlns:g="http://base.google.com/ns/1.0"><channel><title>{title}</title>')], "n int, item string")
-        tail = spark.createDataFrame([(2, "</channel></rss>")], "n int, item string")
-        lines = head.unionByName(google_items(products).select(F.lit(1).alias("n"), "item")).unionByName(tail)
-        lines.coalesce(1).sortWithinPartitions("n").select("item").write.mode("overwrite").text(path)
+        head = f'<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0" xmlns:g="http://base.google.com/ns/1.0"><channel><title>{html.escape(title, quote=False)}</title>'
+        _framed(google_items(products), head, "</channel></rss>").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown feed {kind!r}; known: google_shopping, idealo")
 

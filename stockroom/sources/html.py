@@ -197,16 +197,123 @@ def text_title(c: Column | str) -> Column:
 
 
 def css_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Product cards of pages as raw records of the direct dialect: the page's columns, ``pos`` and ``raw``."""
+    """Product cards of pages as raw records of the direct dialect, by the usual marks of cards: the page's columns, ``pos`` and ``raw``."""
+    return _records(pages, html, _Cards)
+
+
+_PART = re.compile(r"""([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)""")
+_CONDITION = re.compile(r"""([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]*))\s*)?\]""")
+_TESTS = {"=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": str.endswith, "~=": lambda have, want: want in have.split()}
+
+
+def selector(text: str) -> list[list[tuple[str, list]]]:
+    """A selector as alternatives of chains of (tag, conditions), a chain's parts being ancestors; tags, classes, ids, attributes and blanks are known, anything else raises ValueError."""
+    found = []
+    for choice in text.split(","):
+        chain = []
+        for part in choice.split():
+            m = _PART.fullmatch(part)
+            if not m or not part:
+                raise ValueError(f"selector {text!r} isn't known")
+            tests = [("class", "~=", n) if kind == "." else ("id", "=", n) if kind == "#" else (attribute, op or "", a or b or c) for kind, n, attribute, op, a, b, c in _CONDITION.findall(m.group(2))]
+            chain.append((m.group(1) or "*", tests))
+        if chain:
+            found.append(chain)
+    if not found:
+        raise ValueError("an empty selector")
+    return found
+
+
+def _meets(tag: str, attributes: dict[str, str], part: tuple[str, list]) -> bool:
+    return part[0] in ("*", tag) and all(name in attributes and (not op or _TESTS[op](attributes[name], want)) for name, op, want in part[1])
+
+
+def _selected(path: list[tuple[str, dict]], chains: list) -> bool:
+    """Whether the last element of a path from the root is selected."""
+    for chain in chains:
+        if not _meets(*path[-1], chain[-1]):
+            continue
+        left = len(chain) - 1
+        for element in reversed(path[:-1]):
+            if left and _meets(*element, chain[left - 1]):
+                left -= 1
+        if not left:
+            return True
+    return False
+
+
+class _Selected(HTMLParser):
+    """Fields of the elements that a schema selects."""
+
+    def __init__(self, base: list, fields: list[tuple[str, list, str | None]]):
+        super().__init__(convert_charrefs=True)
+        self.base, self.fields = base, fields
+        self.cards: list[dict[str, str]] = []
+        self._path: list[tuple[str, dict]] = []
+        self._open: list[tuple[int, dict]] = []  # depth and record of the open base elements
+        self._texts: list[tuple[int, dict, str]] = []  # depth, record and field of the texts that are being read
+
+    def handle_starttag(self, tag, attrs):
+        attributes = {k: v or "" for k, v in attrs}
+        self._path.append((tag, attributes))
+        depth = len(self._path)
+        if _selected(self._path, self.base):
+            self.cards.append({})
+            self._open.append((depth, self.cards[-1]))
+        if self._open:
+            start, card = self._open[-1]
+            for name, chains, attribute in self.fields:
+                if name not in card and _selected(self._path[start - 1 :], chains):
+                    if attribute is None:
+                        card[name] = ""
+                        self._texts.append((depth, card, name))
+                    elif attributes.get(attribute):
+                        card[name] = attributes[attribute]
+        if tag in _Cards._VOID:
+            self._close(depth)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _Cards._VOID:
+            self._close(len(self._path))
+
+    def _close(self, depth: int) -> None:
+        del self._path[depth - 1 :]
+        self._open = [x for x in self._open if x[0] < depth]
+        self._texts = [x for x in self._texts if x[0] < depth]
+
+    def handle_data(self, data):
+        if data.strip():
+            for _, card, name in self._texts:
+                card[name] = f"{card[name]} {data.strip()}".strip()
+
+    def handle_endtag(self, tag):
+        for i in range(len(self._path) - 1, -1, -1):
+            if self._path[i][0] == tag:
+                return self._close(i + 1)
+
+
+def css_select(pages: DataFrame, schema: dict, html: str = "html") -> DataFrame:
+    """Records of pages by a schema of selectors: the page's columns, ``pos`` and ``raw``.
+
+    ``schema``: ``baseSelector`` and ``fields``, each with ``name``, ``selector``, ``type`` (``text`` or ``attribute``) and, for attributes, ``attribute``. A field is the first match within its
+    record, records inside records take their own fields, and records without any field go. Unknown selectors raise ValueError.
+    """
+    base = selector(schema["baseSelector"])
+    fields = [(f["name"], selector(f["selector"]), f["attribute"] if f.get("type") == "attribute" else None) for f in schema["fields"]]
+    return _records(pages, html, lambda: _Selected(base, fields))
+
+
+def _records(pages: DataFrame, html: str, parser) -> DataFrame:
     kept = [c for c in pages.columns if c != html]
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
+    kinds = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), "cards array<map<string,string>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cards = [[list(c.items()) for c in _parsed(_Cards(), t).cards if c] for t in batch.column(0).to_pylist()]
+            cards = [[list(c.items()) for c in _parsed(parser(), t).cards if any(c.values())] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(cards, pa.list_(pa.map_(pa.string(), pa.string())))], names=[*kept, "cards"])
 
-    found = pages.select(html, *kept).mapInArrow(run, f"{kinds}, cards array<map<string,string>>")
+    found = pages.select(html, *kept).mapInArrow(run, kinds)
     return found.select(*kept, F.posexplode("cards").alias("pos", "card")).select(*kept, "pos", F.to_variant_object("card").alias("raw"))
 
 
@@ -224,22 +331,48 @@ def merged_og(metadata: Column | str, page: Column | str) -> Column:
 
 
 def layered(parts: DataFrame) -> DataFrame:
-    """One product row per page and JSON-LD product, gaps filled from OpenGraph and text: page_id, pos, name, price, currency, image, url, description, layer.
+    """One product row per page and JSON-LD product, gaps filled from OpenGraph, text and pictures: page_id, pos, name, price, currency, image, url, description, layer.
 
-    ``parts``: page_id, blocks, og, and optionally markdown. Pages without JSON-LD give one row if OpenGraph or the text shows a product.
+    ``parts``: page_id, blocks, og, and optionally markdown, metadata (OpenGraph that a crawl gave, before the page's own) and images (array of src and score, whose best fills a missing picture).
+    Pages without JSON-LD give one row if OpenGraph or the text shows a product.
     """
+    og_of = merged_og("metadata", "og") if "metadata" in parts.columns else F.col("og")
     og = lambda k: F.when(F.col("og")[k] != "", F.col("og")[k])
     text = F.col("markdown") if "markdown" in parts.columns else F.lit(None).cast("string")
-    base = parts.select("page_id", "og", "blocks", text_title(text).alias("md_title"), text_price(text).alias("md"))
+    picture = best_image("images") if "images" in parts.columns else F.lit(None).cast("string")
+    none = F.struct(F.lit(None).cast("string").alias("price"), F.lit(None).cast("string").alias("currency"))
+    texts = F.struct(text_title(text).alias("title"), text_price(text).alias("price")) if "markdown" in parts.columns else F.struct(F.lit(None).cast("string").alias("title"), none.alias("price"))
+    # put out by a generator, so that texts are looked through once and not once per field that is read
+    base = parts.select("page_id", og_of.alias("og"), "blocks", picture.alias("best"), F.explode(F.array(texts)).alias("md0")).select("page_id", "og", "blocks", "best", F.col("md0.title").alias("md_title"), F.col("md0.price").alias("md"))
     ld = json_ld(base).select("page_id", "pos", "raw")
-    rows = base.drop("blocks").join(ld, "page_id", "left")
-    g = lambda p: F.when(F.try_variant_get("raw", p, "string") != "", F.try_variant_get("raw", p, "string"))
-    zero = lambda c: F.when(F.trim(c) != "0", c)
-    price = F.coalesce(zero(g("$.price")), zero(g("$.offers.price")), zero(g("$.offers[0].price")), zero(og("og:price:amount")), zero(og("product:price:amount")), F.col("md.price"))
+    # the fields that are read are taken out of each record once
+    said = F.from_json(F.to_json(F.col("raw")), _LAYER_FIELDS)
+    rows = base.drop("blocks").join(ld.select("page_id", "pos", said.alias("r")), "page_id", "left")
+    some = lambda *cs: X.first_filled(*cs)
+    zero = lambda c: F.when((F.trim(c) != "0") & (c != ""), c)
+    offer = lambda c: F.get(F.filter(_texts("r.offers"), lambda o: F.get_json_object(o, f"$.{c}").isNotNull()), 0)
+    of = lambda c: F.get_json_object(offer(c), f"$.{c}")
+    price = F.coalesce(zero(F.col("r.price")), zero(of("price")), zero(og("og:price:amount")), zero(og("product:price:amount")), F.col("md.price"))
+    image = F.get(F.filter(F.transform(_texts("r.image"), lambda i: F.coalesce(F.get_json_object(i, "$.url"), F.when(~i.startswith("{"), i))), lambda i: i.isNotNull() & (i != "")), 0)
     out = rows.select(
-        "page_id", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce(g("$.name"), og("og:title"), F.col("md_title")).alias("name"), price.alias("price"),
-        F.coalesce(g("$.offers.priceCurrency"), g("$.offers[0].priceCurrency"), og("og:price:currency"), og("product:price:currency"), F.col("md.currency")).alias("currency"),
-        F.coalesce(g("$.image.url"), g("$.image[0]"), g("$.image"), og("og:image")).alias("image"), F.coalesce(g("$.url"), og("og:url")).alias("url"), F.coalesce(g("$.description"), og("og:description")).alias("description"),
-        F.when(F.col("raw").isNotNull(), "json_ld").when(F.size("og") > 0, "opengraph").otherwise("text").alias("layer"), F.coalesce(F.lower(F.col("og")["og:type"]).contains("product"), F.lit(False)).alias("typed"),
+        "page_id", F.coalesce("pos", F.lit(0)).alias("pos"), some("r.name", og("og:title"), F.col("md_title")).alias("name"), price.alias("price"),
+        some(of("priceCurrency"), og("og:price:currency"), og("product:price:currency"), F.col("md.currency")).alias("currency"),
+        some(image, og("og:image"), F.col("best")).alias("image"), some("r.url", og("og:url")).alias("url"), some("r.description", og("og:description")).alias("description"),
+        F.when(F.col("r").isNotNull(), "json_ld").when(F.size("og") > 0, "opengraph").otherwise("text").alias("layer"), F.coalesce(F.lower(F.col("og")["og:type"]).contains("product"), F.lit(False)).alias("typed"),
     )
     return out.where((F.col("layer") == "json_ld") | F.col("typed") | F.col("price").isNotNull()).drop("typed")
+
+
+#: What the layers read of a JSON-LD product; objects and lists come as JSON text.
+_LAYER_FIELDS = "name string, price string, offers string, image string, url string, description string"
+
+
+def _texts(field: str) -> Column:
+    """The elements of a list given as JSON text, or the single one, as texts."""
+    c = F.col(field)
+    return F.coalesce(F.when(c.startswith("["), F.from_json(c, "array<string>")), F.when(c.isNotNull(), F.array(c)), F.array().cast("array<string>"))
+
+
+def has_price_and_image(products: DataFrame) -> DataFrame:
+    """The rows (of ``layered``) with a price above zero and a picture."""
+    return products.where((F.coalesce(F.col("price").try_cast("double"), F.lit(0.0)) > 0) & (F.coalesce("image", F.lit("")) != ""))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockroom.operators import monitor
@@ -47,15 +48,22 @@ def sessions(stream: DataFrame, gap: str, late: str = "1 day", by: str = "domain
 def watch(snapshots: DataFrame, store: str, on_changes: Callable[[DataFrame, int], None], checkpoint: str, rules: list | None = None, once: bool = True):
     """Each micro-batch of exploded snapshot rows is appended to ``store`` and the two newest snapshots of its domains are compared.
 
-    ``on_changes`` gets the changes (or the alerts that ``rules`` give) and the batch number. A batch that is run again writes its own folder again, so nothing is
-    stored twice.
+    Rows are kept by domain and instant (``rows``), beside an index of the instants of each domain (``times``), so that a batch reads the index and the files of two snapshots per
+    domain, not the store. ``on_changes`` gets the changes (or the alerts that ``rules`` give) and the batch number. A batch that is run again writes its own
+    files again, so nothing is stored twice.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]  # streams with states of their own may share a store
+    kept_schema = T.StructType([*snapshots.schema.fields, T.StructField("at_domain", T.StringType()), T.StructField("at_time", T.StringType()), T.StructField("batch", T.StringType())])
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        domains = batch.select("domain").distinct()
-        known = spark.read.parquet(store).join(domains, "domain", "left_semi")
+        batch.withColumns({"at_domain": F.col("domain"), "at_time": F.col("taken_at").cast("string"), "batch": F.lit(f"{stream}-{number}")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at_domain", "at_time", "batch").parquet(f"{store}/rows")
+        batch.select("domain", "taken_at").distinct().withColumn("batch", F.lit(f"{stream}-{number}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/times")
+        touched = spark.read.parquet(f"{store}/times").join(batch.select("domain").distinct(), "domain", "left_semi").select("domain", "taken_at").distinct()
+        newest = monitor.latest(touched).select(F.col("domain").alias("at_domain"), F.col("taken_at").cast("string").alias("at_time"))
+        kept = spark.read.schema(kept_schema).parquet(f"{store}/rows")
+        # both are partition columns: only those snapshots' files are read
+        known = kept.join(newest, ["at_domain", "at_time"], "left_semi").select(*batch.columns)
         found = monitor.changes(known)
         on_changes(monitor.alerts(found, rules) if rules else found, number)
 
