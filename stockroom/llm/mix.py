@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from stockroom.llm.bpe import TOKENIZERS, count_column
 from stockroom.session import staged
 
+#: Documents of one lane, about.
+LANE_ROWS = 200_000
 #: Most sources that a mixture may name; their totals come to the driver.
 MAX_SOURCES = 100_000
 _EPS = 1e-9
@@ -108,21 +110,25 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     def flight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[str, list[list]] = {}
         keys: dict[int, object] = {}
-        number = 0
+        now, last, repeated = None, None, 0
 
         def rows_of(s: str, units: list[list], decided: bool) -> list[tuple]:
             whole = int(rates[s] + _EPS)
-            return [(keys.pop(x[0]), s, x[1], whole, x[2], decided) for x in units]
+            return [(keys.pop(x[0]), s, x[1], whole, x[2], decided, x[0] >> 20) for x in units]
 
         for pdf in batches:
             out: list[tuple] = []
-            for ident, s, tokens in zip(pdf["key"].tolist(), pdf["source"].tolist(), pdf["tokens"].tolist()):
+            for lane, ident, h, s, tokens in zip(pdf["lane"].tolist(), pdf["key"].tolist(), pdf["h"].tolist(), pdf["source"].tolist(), pdf["tokens"].tolist()):
+                if lane != now:
+                    out += [r for s_, units in waiting.items() for r in rows_of(s_, units, False)]
+                    waiting, now = {}, lane
+                repeated = repeated + 1 if h == last else 0
+                last = h
                 rate = rates.get(s)
                 if rate is None:
                     continue
                 fraction = rate - int(rate + _EPS)
-                number += 1
-                n = (ident if isinstance(ident, int) else hash_text(str(ident))) << 20 | number & 0xFFFFF
+                n = h << 20 | repeated
                 keys[n] = ident
                 if fraction < _EPS:
                     out += rows_of(s, [[n, tokens, 0.0]], True)
@@ -137,6 +143,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
         yield pd.DataFrame([r for s, units in waiting.items() for r in rows_of(s, units, False)], columns=_COLUMNS)
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "tokens"], kind="stable", ignore_index=True)
         units: list[list] = []
         done: list[list] = []
         for i, (t, p) in enumerate(zip(pdf["tokens"].tolist(), pdf["probability"].tolist())):
@@ -147,20 +154,17 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
         chosen = {x[0]: x[2] for x in [*done, *units]}
         return pdf.assign(probability=[chosen[i] for i in range(len(pdf))], decided=True)
 
-    schema = f"key {kind}, source string, tokens long, whole int, probability double, decided boolean"
-    flown = staged(sized.where(F.col("tokens") > 0).select(F.col(key).alias("key"), F.col(source).alias("source"), "tokens").mapInPandas(flight, schema))
+    schema = f"key {kind}, source string, tokens long, whole int, probability double, decided boolean, h long"
+    # documents fly in lanes told by their key, in an order told by it, so that the choice doesn't depend on how the table is laid out
+    lanes = -(-sized.count() // LANE_ROWS) or 1
+    usable = sized.where(F.col("tokens") > 0).select(F.col(key).alias("key"), F.col(source).alias("source"), "tokens", F.xxhash64(key, source).alias("h")).withColumn("lane", F.pmod("h", F.lit(lanes)))
+    flown = staged(usable.repartition("lane").sortWithinPartitions("lane", "source", "h", "key", "tokens").mapInPandas(flight, schema))
     landed = flown.where("not decided").groupBy("source").applyInPandas(second, schema)
     taken = flown.where("decided").unionByName(landed).withColumn("copies", F.col("whole") + F.round("probability").cast("int"))
     return taken.where("copies > 0").select(F.col("key").alias(key), "source", "tokens", "copies")
 
 
-_COLUMNS = ["key", "source", "tokens", "whole", "probability", "decided"]
-
-
-def hash_text(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text)
+_COLUMNS = ["key", "source", "tokens", "whole", "probability", "decided", "h"]
 
 
 def shares(taken: DataFrame, targets: DataFrame) -> DataFrame:

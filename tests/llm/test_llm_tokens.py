@@ -68,6 +68,15 @@ def test_mixture_reaches_its_shares_within_a_document(spark, enc):
     assert mix.mixture(df.limit(0), targets).count() == 0 and mix.mixture(df, targets.limit(0)).count() == 0
 
 
+def test_mixture_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(mix, "LANE_ROWS", 30)
+    rows = [(i // 2 if i < 40 else i, "word " * (1 + i * 7 % 23), "ab"[i % 3 == 0], "", "") for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    one = sorted(tuple(r) for r in mix.mixture(df.coalesce(1), targets).collect())
+    assert one and one == sorted(tuple(r) for r in mix.mixture(df.orderBy("text").repartition(7), targets).collect())
+
+
 def test_flight_keeps_both_totals():
     rnd = random.Random(4)
     units, done = [], []
