@@ -144,13 +144,34 @@ def _two_catalogs(spark, sf):
     return c.where("idx % 3 = 0"), c.where("idx % 3 <> 0")
 
 
-@query("j2_fuzzy_match")
+#: Both catalogues' titles, with counts of characters by which dissimilar pairs are told beforehand.
+_TITLES = ", r0 as (select idx, concat(lower(trim(title)), ' ', idx % 50) as t, idx % 3 = 0 as own, cast(price as decimal(18,2)) as price from catalog), k as (select t, own, [length(t) - length(replace(t, c, '')) for c in string_split(' abcdefghijklmnopqrstuvwxyz0123456789', '')] as cs from (select distinct t, own from r0))"
+_NEAR = "select x.t ta, y.t tb from (select t, cs from k where own) x, (select t, cs from k where not own) y where x.t <> y.t and 2 * list_sum(list_transform(list_zip(x.cs, y.cs), lambda z: least(z[1], z[2]))) >= 0.9 * (length(x.t) + length(y.t))"
+#: The plain loop: each row in turn takes its best partner that is still free.
+_GREEDY = """, near as (select ta, tb, sim from sims where sim >= 0.9 union all select x.t, x.t, 1.0::double from (select t from k where own) x join (select t from k where not own) y on x.t = y.t),
+cand as (select x.idx as a, y.idx as b, sim from near join r0 x on x.t = ta and x.own join r0 y on y.t = tb and not y.own), ord as (select a, row_number() over (order by a) as n from (select distinct a from cand)),
+greedy as (select 0::bigint as i, []::bigint[] as used, null::bigint as a, null::struct(b bigint, sim double) as x
+  union all
+  select i + 1, case when y.x is null then used else list_append(used, y.x.b) end, y.a, y.x from (
+    select g.i, g.used, o.a, arg_max(struct_pack(b := c.b, sim := c.sim), struct_pack(sim := c.sim, b := -c.b)) filter (not list_contains(g.used, c.b)) as x from greedy g join ord o on o.n = g.i + 1 join cand c on c.a = o.a group by g.i, g.used, o.a) y),
+m as (select a, x.b as b, x.sim as sim from greedy where x is not null)"""
+
+
+@query("j2_fuzzy_match", ratcliff(_NEAR, _GREEDY + " select a, b, round(sim, 6) as sim from m", _TITLES))
 def fuzzy_match(spark, sf):
     a, b = _two_catalogs(spark, sf)
-    return match.fuzzy_match(a, b, 0.9)
+    return match.fuzzy_match(a, b, 0.9).withColumn("sim", F.round("sim", 6))
 
 
-@query("j3_catalog_diff")
+@query(
+    "j3_catalog_diff",
+    ratcliff(
+        _NEAR,
+        _GREEDY + " select m.a, m.b, 'both' as side, case when x.price < y.price then 'cheaper_a' when y.price < x.price then 'cheaper_b' else 'equal' end as price_class from m join r0 x on x.idx = m.a join r0 y on y.idx = m.b "
+        "union all select idx, null, 'only_a', null from r0 where own and idx not in (select a from m) union all select null, idx, 'only_b', null from r0 where not own and idx not in (select b from m)",
+        _TITLES,
+    ),
+)
 def catalog_diff(spark, sf):
     a, b = _two_catalogs(spark, sf)
     return match.catalog_diff(a, b, 0.9)
