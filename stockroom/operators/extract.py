@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from stockroom.functions import text as X
 from stockroom.operators import analyze, discover, normalize
@@ -43,6 +44,8 @@ def from_pages(pages: DataFrame) -> DataFrame:
     parts = html.page_parts(pages.withColumn("page_id", F.struct("site", "url")))
     found = html.layered(parts.drop("html"))
     columns = {"title": X.stripped("name"), "price": X.money("price"), "currency": F.coalesce("currency", F.lit("USD")), "image_url": F.col("image"), "product_url": F.coalesce("url", "page_id.url"), "description": X.without_markup("description")}
+    stock = F.coalesce("availability", F.lit(""))
+    columns |= {"external_id": F.coalesce("sku", "gtin"), "sku": F.col("sku"), "vendor": F.col("vendor"), "gtin": X.gtin("gtin"), "in_stock": (stock == "") | stock.contains("InStock")}
     rows = found.select("page_id.site", F.col("page_id.url").alias("page_url"), "layer", F.explode(F.array(normalize.product(**columns))).alias("p")).where(F.col("p").isNotNull() & normalize.is_product(F.col("p")))
     return rows.select("site", "page_url", "layer", *[F.coalesce("p.condition", F.lit("NEW")).alias(n) if n == "condition" else F.col(f"p.{n}") for n, _ in normalize.FIELDS])
 
@@ -62,20 +65,15 @@ def from_cards(pages: DataFrame, schema: dict | None = None) -> DataFrame:
 def by_batches(pages: DataFrame, reader: Callable[[Iterable[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """Rows that an outside reader (a model, a service) gives for captured pages, a batch at a time: the hook for scans that aren't built here."""
 
+    names = StructType.fromDDL(schema).names
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in _fields(schema)]
         for pdf in batches:
             yield pd.DataFrame(list(reader(pdf.to_dict("records"))), columns=names)
 
     return pages.mapInPandas(run, schema)
 
 
-def _fields(schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema).fields
-
-
 def tiered(tiers: dict[str, DataFrame], gate: float = 0.3) -> DataFrame:
     """Products of each site's first good tier with ``tier``, ``quality`` (of the row) and ``tier_quality``: the first that has products and whose mean quality reaches the gate, for the last tiers any that has products.
 

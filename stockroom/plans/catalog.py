@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockroom.functions import text as X
 from stockroom.operators import analyze, match, validate
 from stockroom.plans.base import catalog, registry, with_views
+from stockroom.session import table
 
 QUERIES, ORACLE, query = registry()
 
@@ -154,10 +155,11 @@ def ratcliff(pairs: str, final: str, more: str = "") -> str:
     return with_views("").replace("with catalog", "with recursive catalog", 1) + more + _RATCLIFF.format(pairs=pairs) + " " + final
 
 
-@query("j1_title_similarity", ratcliff("select x.t ta, y.t tb from (select distinct lower(p_name) t from part) x join (select distinct lower(p_name) t from part) y on x.t < y.t", "select ta, tb, round(sim, 6) as sim from sims"))
+@query("j1_title_similarity", ratcliff("select distinct lower(x.p_name) ta, lower(y.p_name) tb from part x join part y on y.p_partkey = x.p_partkey + 1 where x.p_name <> y.p_name", "select ta, tb, round(sim, 6) as sim from sims"))
 def title_similarity(spark, sf):
-    t = catalog(spark, sf).select(X.key("title").alias("t")).distinct()
-    pairs = t.select(F.col("t").alias("ta")).join(t.select(F.col("t").alias("tb")), F.col("ta") < F.col("tb"))
+    """Given pairs: each product's title and the next one's."""
+    t = catalog(spark, sf).select("idx", X.key("title").alias("t"))
+    pairs = t.select((F.col("idx") + 1).alias("idx"), F.col("t").alias("ta")).join(t.select("idx", F.col("t").alias("tb")), "idx").where("ta <> tb").select("ta", "tb").distinct()
     return pairs.select("ta", "tb", F.round(match.similarity("ta", "tb"), 6).alias("sim"))
 
 
@@ -180,3 +182,28 @@ def match_identifiers(spark, sf):
     return match.match_identifiers(catalog(spark, sf), wanted)
 
 
+
+
+def listings(spark: SparkSession, sf: str) -> DataFrame:
+    """The scraped listings as a catalogue, dirty as they are."""
+    return table(spark, sf, "products").withColumn("idx", F.col("listing_id"))
+
+
+#: A text without white space of any kind around it, blank for null.
+_SOLID = r"regexp_replace(coalesce({}, ''), '^[\s\pZ\x{{85}}\x1c-\x1f]+|[\s\pZ\x{{85}}\x1c-\x1f]+$', '', 'g')"
+_HAS = {c: _SOLID.format(c) + " <> ''" for c in ("title", "image_url", "description", "sku")}
+
+
+@query("a9_listing_brands", f"select v as value, count(*) as n, min(listing_id) as first_idx from (select {_SOLID.format('vendor')} as v, listing_id from products) where v <> '' group by v")
+def listing_brands(spark, sf):
+    return analyze.count_field(listings(spark, sf), "vendor")
+
+
+@query("a13_listing_quality", f"select listing_id, (case when not {_HAS['title']} then 0 else 40 + case when coalesce(try_cast(price as decimal(38,10)), 0) > 0 then 15 else 0 end + " + " + ".join(f"case when {_HAS[c]} then 15 else 0 end" for c in ("image_url", "description", "sku")) + " end) / 100.0::double as quality from products")
+def listing_quality(spark, sf):
+    return analyze.quality(listings(spark, sf)).select("listing_id", F.col("quality").cast("double").alias("quality"))
+
+
+@query("j9_listing_numbers", f"select first as idx_a, listing_id as idx_b, g as value from (select listing_id, g, min(listing_id) over (partition by g) as first from (select listing_id, {_SOLID.format('gtin')} as g from products) where g <> '') where listing_id > first")
+def listing_numbers(spark, sf):
+    return validate.exact_duplicates(listings(spark, sf), "gtin")

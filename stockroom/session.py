@@ -51,7 +51,7 @@ _LOCAL: str | None = None
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors and keeps column pruning.
 
-    The table is deleted when the driver's process ends.
+    The table is deleted when the driver's process ends, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stockroom/{uuid.uuid4().hex}"
@@ -59,10 +59,22 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _STAGED:
+        atexit.register(release, spark)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that were staged and not dropped yet.
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Drops all staged tables: results that were built from them and not written yet can't be read any more. For long sessions, between jobs."""
+    while _STAGED:
+        _drop(spark, _STAGED.pop())
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -84,6 +84,8 @@ def _framed(items: DataFrame, head: str, tail: str, between: str = "") -> DataFr
                 yield lines(whole)
         yield lines([*([held] if held is not None else []), tail])
 
+    if items.isEmpty():  # no partition, no file
+        return items.sparkSession.createDataFrame([(f"{head}\n{tail}",)], "item string").coalesce(1)
     return items.mapInArrow(run, "item string")
 
 

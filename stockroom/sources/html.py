@@ -149,7 +149,7 @@ def json_ld(parts: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", _type(F.col("raw0"))).withColumn("offer", F.when(lacks, F.get(F.filter(offers, priced), 0)))
     kept = F.map_filter(F.coalesce(F.try_variant_get("raw0", "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, x: ~k.isin(*PERSONAL) & ~((k == "offers") & F.col("offer").isNotNull()))
     whole = F.when(F.col("offer").isNotNull(), F.map_concat(kept, F.create_map(F.lit("offers"), F.col("offer")))).otherwise(kept)
-    return rows.withColumn("fields", whole).withColumn("raw", F.to_variant_object("fields")).withColumn("pos", F.col("b") * 1000 + F.col("i")).drop("b", "i", "raw0", "kind", "offer")
+    return rows.withColumn("fields", whole).withColumn("raw", F.to_variant_object("fields")).withColumn("pos", F.shiftleft(F.col("b").cast("long"), 32) + F.col("i")).drop("b", "i", "raw0", "kind", "offer")
 
 
 # --- prices and titles in text ------------------------------------------------------------------------------------------------
@@ -331,7 +331,7 @@ def merged_og(metadata: Column | str, page: Column | str) -> Column:
 
 
 def layered(parts: DataFrame) -> DataFrame:
-    """One product row per page and JSON-LD product, gaps filled from OpenGraph, text and pictures: page_id, pos, name, price, currency, image, url, description, layer.
+    """One product row per page and JSON-LD product, gaps filled from OpenGraph, text and pictures: page_id, pos, name, price, currency, image, url, description, sku, vendor, gtin, availability, layer.
 
     ``parts``: page_id, blocks, og, and optionally markdown, metadata (OpenGraph that a crawl gave, before the page's own) and images (array of src and score, whose best fills a missing picture).
     Pages without JSON-LD give one row if OpenGraph or the text shows a product.
@@ -358,13 +358,14 @@ def layered(parts: DataFrame) -> DataFrame:
         "page_id", F.coalesce("pos", F.lit(0)).alias("pos"), some("r.name", og("og:title"), F.col("md_title")).alias("name"), price.alias("price"),
         some(of("priceCurrency"), og("og:price:currency"), og("product:price:currency"), F.col("md.currency")).alias("currency"),
         some(image, og("og:image"), F.col("best")).alias("image"), some("r.url", og("og:url")).alias("url"), some("r.description", og("og:description")).alias("description"),
+        F.col("r.sku").alias("sku"), F.coalesce(F.get_json_object("r.brand", "$.name"), F.when(~F.col("r.brand").startswith("{"), F.col("r.brand"))).alias("vendor"), some(*[f"r.{g}" for g in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8")]).alias("gtin"), of("availability").alias("availability"),
         F.when(F.col("r").isNotNull(), "json_ld").when(F.size("og") > 0, "opengraph").otherwise("text").alias("layer"), F.coalesce(F.lower(F.col("og")["og:type"]).contains("product"), F.lit(False)).alias("typed"),
     )
     return out.where((F.col("layer") == "json_ld") | F.col("typed") | F.col("price").isNotNull()).drop("typed")
 
 
 #: What the layers read of a JSON-LD product; objects and lists come as JSON text.
-_LAYER_FIELDS = "name string, price string, offers string, image string, url string, description string"
+_LAYER_FIELDS = "name string, price string, offers string, image string, url string, description string, sku string, brand string, gtin13 string, gtin string, gtin14 string, gtin12 string, gtin8 string"
 
 
 def _texts(field: str) -> Column:
