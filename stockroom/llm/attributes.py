@@ -235,7 +235,6 @@ class Vocabulary:
                 for d in {w} | _deletes(w):
                     self.near.setdefault(d, w)
         self.known = lru_cache(maxsize=200_000)(self._known)
-        self.roles = lru_cache(maxsize=200_000)(self._roles)
 
     def _known(self, word: str) -> str | None:
         """The common word that ``word`` is, also misspelt: from six letters on with one letter wrong, left out, doubled or exchanged with the next, shorter ones with two exchanged or one doubled."""
@@ -252,7 +251,7 @@ class Vocabulary:
                     return other
         return None
 
-    def _roles(self, words: str, make: str) -> tuple[str, str, str]:
+    def roles(self, words: str, make: str) -> tuple[str, str, str]:
         """Make, name of the model and variant that ``words`` state, ``make`` being that of the vendor field."""
         said, classes = "", set()
         rest: list[str | None] = []
@@ -295,6 +294,6 @@ def _name_of(words: list[str | None]) -> str:
 
 
 def _near(word: str, other: str) -> bool:
-    if abs(len(word) - len(other)) > 1:
-        return False
+    if abs(len(word) - len(other)) > 1 or word[0] != other[0] and word[-1] != other[-1]:
+        return False  # one letter wrong can't be both the first and the last
     return word in _deletes(other) or other in _deletes(word) or bool(_deletes(word) & _deletes(other))
