@@ -160,7 +160,7 @@ def dearest_by_store(spark, sf):
     return analyze.top(offers(spark, sf), 3, F.desc(F.col("price").cast("decimal(18,2)")), "idx", "l_suppkey", by=("store",)).select("store", "idx", "l_suppkey")
 
 
-@query("p6_has_price_and_image", with_views("select idx as page_id from catalog where coalesce(image_url,'') <> ''"))
+@query("has_price_and_image", with_views("select idx as page_id from catalog where coalesce(image_url,'') <> ''"))
 def has_price_and_image(spark, sf):
     block = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("title").alias("name"), F.array(F.struct("price")).alias("offers"), F.col("image_url").alias("image")))
     pages = catalog(spark, sf).select(F.col("idx").alias("page_id"), F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>")).alias("html"))
