@@ -306,9 +306,13 @@ def best_competitors(mine: DataFrame, others: DataFrame, threshold: float = 0.6)
     """
     m = mine.select("idx", X.key("title").alias("ta")).where("ta <> ''")
     o = others.select(F.col("idx").alias("competitor"), "store", X.positive("price").alias("competitor_price"), X.key("title").alias("tb"))
+    # a store's rows of one title are equally similar to anything: the first stands for all, so that rows of common titles don't meet each other one by one
+    early = F.coalesce(-F.col("competitor").cast("long"), F.lit(-(1 << 63)))  # one number, so that the aggregate stays hash-based
+    o = staged(o.groupBy("tb", "store").agg(F.min("competitor").alias("competitor"), F.max_by("competitor_price", early).alias("competitor_price")))
     titles = similar_titles(m.select(F.col("ta").alias("t")), o.select(F.col("tb").alias("t")), threshold)
-    rows = m.join(titles, "ta").join(o, "tb")
-    best = rows.groupBy("idx", "store").agg(F.max_by(F.struct("competitor", "competitor_price", "sim"), F.struct("sim", (-F.col("competitor")).alias("n"))).alias("x"))
+    found = F.max_by(F.struct("competitor", "competitor_price", "sim"), F.struct("sim", (-F.col("competitor")).alias("n"))).alias("x")
+    likest = titles.join(o, "tb").groupBy("ta", "store").agg(found).select("ta", "store", "x.*")
+    best = m.join(likest, "ta").groupBy("idx", "store").agg(found)
     return best.select("idx", "store", "x.*").where("competitor_price is not null")
 
 

@@ -116,6 +116,32 @@ def test_best_competitors_and_identifiers(spark):
     assert {r.idx for r in match.match_identifiers(ids, spark.createDataFrame([(" 12",), ("",)], "wanted_id string")).collect()} == {1, 2}
 
 
+def rows_of_joins(plan):
+    """The rows that each join of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if kind.endswith("JoinExec") else []
+    return own + [n for p in inner + children for n in rows_of_joins(p)]
+
+
+def test_competitors_of_common_titles_do_not_meet_one_by_one(spark):
+    """300 own rows and 300 offers of one title: each own row meets the store's first offer, not all of them; the results are those of a plain loop."""
+    mine = spark.createDataFrame([(i, "Blue Widget Pro" if i % 2 else "Blue Widget Max") for i in range(300)] + [(0, "Red Gadget")], "idx long, title string")
+    rows = [(1000 + i, "st"[i % 2], str(i % 5), ("blue widget pro", "Blue widget Mox")[i % 3 == 0]) for i in range(300)] + [(1, "u", "7", "red gadget"), (None, "v", "8", "red gadget"), (3, "w", None, "red gadget")]
+    others = spark.createDataFrame(rows, "idx long, store string, price string, title string")
+    want = {}
+    for i, t in [tuple(r) for r in mine.collect()]:
+        for c, store, price, title in rows:
+            sim = match.ratio(t.lower(), title.lower())
+            if sim >= 0.8:
+                want[i, store] = max(want.get((i, store), ((-1,),)), ((sim, c is not None, -(c or 0)), c, float(price or 0)))
+    found = match.best_competitors(mine, others, 0.8)
+    got = {(r.idx, r.store): (r.competitor, float(r.competitor_price), r.sim) for r in found.collect()}
+    assert got == {k: (c, p, o[0]) for k, (o, c, p) in want.items() if p > 0} and (0, "v") in got
+    assert max(rows_of_joins(found._jdf.queryExecution().executedPlan())) <= 3 * 301  # stores that an own row meets
+
+
 def test_changes_history_and_alerts(spark):
     rows = spark.createDataFrame([("d", 1, 1, "A", "10"), ("d", 1, 2, "B", "5"), ("d", 2, 1, " a ", "15"), ("d", 2, 2, "a", "12"), ("d", 2, 3, "C", None), ("e", 1, 1, "x", "1")], "domain string, taken_at int, idx long, title string, price string")
     found = monitor.changes(rows)
